@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams (3 to 5 bytes, with marks for its
 ends) and of itself, each hashed to a bucket that has an embedding. A word's
-vector is the mean over its bag, a document's the mean over its words, and a
+vector is the mean over its bag, a document's the mean over its distinct words, and a
 linear softmax over the two labels follows; embeddings and softmax are trained
 together in numpy by minibatch AdaGrad. A misspelt word that training never saw
 still shares most of its n-grams' vectors.
@@ -65,13 +65,10 @@ def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: list[str], memory: Memory) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each text as buckets and their weights in the mean over words of the means over bags."""
+    """Each text as buckets and their weights in the mean over distinct words of the means over bags."""
     for codes in memory.codes([t.lower().split() for t in texts]):
-        words, times = np.unique(codes, return_counts=True)
-        flat, size = memory.values(words)
-        times = times * (size > 0)
-        total = times.sum()
-        x = np.bincount(flat, np.repeat(times / np.maximum(size, 1), size), BUCKETS) / max(total, 1)
+        flat, size = memory.values(np.unique(codes))
+        x = np.bincount(flat, np.repeat(1 / np.maximum(size, 1), size), BUCKETS) / max((size > 0).sum(), 1)
         at = np.flatnonzero(x)
         yield at, x[at]
 
@@ -84,7 +81,7 @@ class Model:
     def scores(self, texts: list[str], memory: Memory) -> list[float]:
         out = []
         for codes in memory.codes([t.lower().split() for t in texts]):
-            got, size = memory.values(codes)
+            got, size = memory.values(np.unique(codes))
             n = size.sum()
             out.append(float(1 / (1 + np.exp(-(got.sum() / n if n else 0.0) - self.bias))))
         return out
@@ -97,14 +94,19 @@ class Model:
         return total[has] / size[has], has.astype(np.int64)
 
 
-def train(buckets: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, *, epochs: int = 20, batch: int = 64, rate: float = 0.25, seed: int = 7) -> Model:
-    """Embeddings and softmax together, from documents given as sparse rows."""
+def train(buckets: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 2.0, floor: float = 1.0, seed: int = 7) -> Model:
+    """Embeddings and softmax together, from documents given as sparse rows.
+
+    floor: what AdaGrad's sum of squares starts from for embeddings, so that
+    n-grams that few documents have don't take large steps.
+    """
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM))
+    emb = rng.normal(0, 0.01, (BUCKETS, DIM))
     out = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
-    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-6), np.full(out.shape, 1e-6), np.full(2, 1e-6)
+    g_emb, g_out, g_bias = np.full(BUCKETS, floor), np.full(out.shape, 1e-6), np.full(2, 1e-6)
     hot = np.eye(2)[labels]
+    seen, place = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
@@ -128,7 +130,11 @@ def train(buckets: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarr
             g_bias += d_bias**2
             out -= rate * d_out / np.sqrt(g_out)
             bias -= rate * d_bias / np.sqrt(g_bias)
-            used, inverse = np.unique(flat, return_inverse=True)
+            seen[:] = False
+            seen[flat] = True
+            used = np.flatnonzero(seen)
+            place[used] = np.arange(len(used))
+            inverse = place[flat]
             grad = np.stack([np.bincount(inverse, w * d_doc[of, k], len(used)) for k in range(DIM)], axis=1)
             g_emb[used] += (grad**2).mean(axis=1)
             emb[used] -= rate * grad / np.sqrt(g_emb[used])[:, None]
