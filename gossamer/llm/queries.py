@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import bpe, fingerprint, langid, mixing, toxicity
+from gossamer.llm import bpe, fingerprint, langid, mixing, substrings, toxicity
 from gossamer.llm._common import fold
 
 #: The vocabulary file that the queries use; a parameter of the operator itself.
@@ -34,6 +34,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
@@ -47,8 +51,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op4_language_id, op5_source_mixing, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op4_language_id, op5_source_mixing, op8_substring_dedup, op9_toxicity, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.ORACLE_SQL, "op10_fingerprints": fingerprint.ORACLE_SQL}
+    return {"op5_source_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL, "op10_fingerprints": fingerprint.ORACLE_SQL}
