@@ -287,14 +287,14 @@ def _with(docs: DataFrame, value, run, kind: str, name: str) -> DataFrame:
     return docs.withColumn(name, udf(value))
 
 
-def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: a row for each row of docs, encoded and decoded in one pass."""
+def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids: a row for each row of docs, encoded and decoded in one pass."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, ids = [], [], [], []
             for part in chunks(batch.column(1).to_pylist()):
                 got = c.codes(part)
                 flat, sizes = c.gather(got)
@@ -302,7 +302,12 @@ def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
                 ids_sha += [hashlib.sha256(",".join(map(said, x)).encode()).hexdigest() for x in got]
                 text_sha += [hashlib.sha256(b.decode("utf-8", "replace").encode()).hexdigest() for b in c.decode_bytes(flat, sizes)]
                 n += sizes.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids.append(flat)
+            out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

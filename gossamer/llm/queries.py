@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import bpe, fingerprint, langid, mixing, substrings, toxicity
+from gossamer.llm import ann, bpe, fingerprint, jaccard, langid, licenses, lines, mixing, substrings, toxicity
 from gossamer.llm._common import fold
 
 #: The vocabulary file that the queries use; a parameter of the operator itself.
@@ -23,6 +23,15 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.fit(docs.where(fold("doc_id", 3) != 1))
@@ -34,6 +43,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -51,8 +68,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op4_language_id, op5_source_mixing, op8_substring_dedup, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_nearest_neighbours, op3_line_dedup, op4_language_id, op5_source_mixing, op6_license_scan, op7_jaccard_join, op8_substring_dedup, op9_toxicity, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL, "op10_fingerprints": fingerprint.ORACLE_SQL}
+    return {"op3_line_dedup": lines.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL, "op10_fingerprints": fingerprint.ORACLE_SQL}
