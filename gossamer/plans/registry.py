@@ -1,9 +1,15 @@
 """The registered queries and, beside them, the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from gossamer.plans import pages
 
+_PARTS = (pages,)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _PARTS for k, v in m.ORACLES.items()}
