@@ -22,7 +22,7 @@ def action_stats(outcomes: DataFrame, key: list[str], order: str, alpha: float =
     """
     got = outcomes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, F.col("success").cast("double").alias("success"), "quality", "latency_ms", "cost"))).alias("log"))
     names = ("success", "quality", "latency_ms", "cost")
-    return got.select(*key, F.size("log").cast("long").alias("samples"), *[ema(F.transform("log", lambda x, n=n: x[n]), p, alpha).alias(f"{n}_ema") for n, p in zip(names, PRIOR, strict=True)])
+    return got.select(*key, F.size("log").cast("long").alias("samples"), *[ema(F.col("log").getField(n), p, alpha).alias(f"{n}_ema") for n, p in zip(names, PRIOR, strict=True)])
 
 
 def score(success: Column, quality: Column, latency: Column, cost: Column, samples: Column, engine: Column, route: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gossamer.plans import pages
+from gossamer.plans import pages, work
 
-_PARTS = (pages,)
+_PARTS = (pages, work)
 
 
 def queries() -> dict:
