@@ -20,7 +20,8 @@ in clean text.
 Null text stays null and has no lines here. A null id is smaller than any
 other. Rows of equal id are told apart by their text and in that order; rows
 that are equal in both are treated alike, as one document. The order of
-columns and all other columns stay.
+columns and all other columns stay; names that begin with two underscores are
+the operator's own.
 """
 
 from __future__ import annotations
@@ -93,14 +94,14 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, report: bool = False) -> DataFrame:
     """docs without the repeated runs; with report also n_lines and n_removed (0 for null text), which replace columns of these names."""
-    gone = repeated_lines(docs, doc_id=doc_id, text=text, gram=gram, window=window).select(F.col("__id").alias("__gid"), F.col("__text").alias("__gtext"), "gone")
+    gone = repeated_lines(docs, doc_id=doc_id, text=text, gram=gram, window=window).select(F.col("__id").alias("__gid"), F.col("__text").alias("__gtext"), F.col("gone").alias("__gone"))
     i, t = _key(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.withColumns({"__id": i, "__text": t})
     rows = rows.join(gone, (rows["__text"] == gone["__gtext"]) & rows["__id"].eqNullSafe(gone["__gid"]) & rows[text].isNotNull(), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, k: ~F.array_contains(F.col("gone"), k))
-    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    more = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")} if report else {}
+    kept = F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k))
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    more = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if report else {}
     kinds = dict(docs.dtypes)
     out = [new.cast(kinds[text]).alias(text) if c == text else F.col(c) for c in docs.columns if c not in more]
     return rows.select(*out, *[F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(c).alias(k) for k, c in more.items()])

@@ -80,7 +80,7 @@ def exponent(sources: DataFrame, *, budget: float, max_repetition: float | None
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", budget: float | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None) -> DataFrame:
     """Adds n_tokens, weight (of the source) and copies: how many times the mixture has the document.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced; names that begin with two underscores are the operator's own.
     """
     held = docs.drop("n_tokens", "weight", "copies").withColumn("n_tokens", n_words(text_or_empty(text)))
     n = docs.count()
@@ -97,14 +97,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     z = same.agg(F.sum(F.pow(F.col("tokens") / F.lit(float(said or 1)), F.lit(alpha)) * F.col("n"))).first()[0] or 1.0
     weight = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(float(said or 1)), F.lit(alpha)) / F.lit(z)).otherwise(F.lit(0.0))
     own = F.floor(weight * F.lit(budget) + 0.5).cast("long")
-    plan = by_source.select("__source", weight.alias("weight"), F.when(F.col("total") > 0, F.floor(own / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("epochs"), F.when(F.col("total") > 0, own % F.col("total")).otherwise(F.lit(0)).cast("long").alias("rest"))
+    plan = by_source.select("__source", weight.alias("__weight"), F.when(F.col("total") > 0, F.floor(own / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("__epochs"), F.when(F.col("total") > 0, own % F.col("total")).otherwise(F.lit(0)).cast("long").alias("rest"))
     before = Window.partitionBy("__source").orderBy(_block_order(F.col("__block")), "__block").rowsBetween(Window.unboundedPreceding, -1)
-    table = by_block.withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(plan, "__source").select("__source", "__block", "weight", "epochs", (F.col("rest") - F.col("__before")).alias("__left"))
+    table = by_block.withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(plan, "__source").select("__source", "__block", "__weight", "__epochs", (F.col("rest") - F.col("__before")).alias("__left"))
     # the join and the window below need the same exchange
     within = Window.partitionBy("__source", "__block").orderBy("__in", doc_id, text).rowsBetween(Window.unboundedPreceding, -1)
     rows = held.join(table, ["__source", "__block"]).withColumn("__in", _hash(F.col(doc_id), 16))
     rows = rows.withColumn("__sofar", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    rows = rows.withColumn("copies", F.col("epochs") + (F.col("__sofar") < F.col("__left")).cast("long"))
+    rows = rows.withColumn("weight", F.col("__weight")).withColumn("copies", F.col("__epochs") + (F.col("__sofar") < F.col("__left")).cast("long"))
     return rows.select(*[c for c in docs.columns if c not in ("n_tokens", "weight", "copies")], "n_tokens", "weight", "copies")
 
 
