@@ -59,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
     known = labels.where(fold("doc_id", 4) != 2)
-    model = toxicity.fit(docs.join(known, "doc_id"))
+    model = toxicity.fit(docs, known)
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

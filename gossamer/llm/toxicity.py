@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session
+from gossamer.llm._common import chunks, session, text_or_empty
 from gossamer.llm._words import Memory
 
 BUCKETS = 1 << 16
@@ -142,14 +142,16 @@ def train(buckets: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarr
     return Model(emb @ turn, float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows_per_label: int = 2000) -> Model:
-    session(labelled)
-    rows = labelled.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows_per_label: int = 2000) -> Model:
+    """Learns from the texts of docs that labels has a 0 or 1 for. What is broadcast is the sample's ids, about two times max_rows_per_label."""
+    session(docs)
+    rows = labels.select(F.col(doc_id).cast("string").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Model(np.zeros(BUCKETS), 40.0 if 1 in total else -40.0)
     share = F.when(F.col("y") == 1, F.lit(min(1_000_000, max_rows_per_label * 1_000_000 // total[1]))).otherwise(F.lit(min(1_000_000, max_rows_per_label * 1_000_000 // total[0])))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "y", "text")
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    sample = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(bag, 100_000)
@@ -158,6 +160,8 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))], names=["id", "y", "b", "w"])
 
     got = sample.mapInArrow(run, "id string, y int, b array<int>, w array<float>").toArrow()
+    if not got.num_rows:
+        return Model(np.zeros(BUCKETS), float(np.log(total[1] / total[0])))
     order = np.lexsort((got["y"].to_numpy(), np.array(got["id"].fill_null("").to_pylist(), object).astype(str)))
     col = lambda k: (c := got[k].combine_chunks(), c.values.to_numpy(), c.offsets.to_numpy())
     (_, b, cut), (_, w, _) = col("b"), col("w")
