@@ -44,6 +44,8 @@ from gossamer.llm._components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 SKETCH, LEAF, DEPTH, BLOCK = 128, 96, 4, 256
+#: The bitmap that is broadcast before texts are moved: 16 MB at most.
+FILTER_BITS = 1 << 27
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -200,13 +202,13 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
         rows = written(rows, f"paths-{depth}")
         # written before it is joined, so that Spark can split the rows of a large bucket
         size = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{depth}")
-        live = rows.join(size, "key")
+        live = written(rows.join(size, "key"), f"live-{depth}")
         small = live.where(F.col("n") <= LEAF).groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("ts"))
         # the same list of classes from several paths is compared once
         lists = small.select(F.xxhash64("ts").alias("key"), F.explode("ts").alias("t")).distinct()
         leaf = lists.join(held.select("t", "low"), "t").groupBy("key").agg(F.collect_list(F.struct(F.lit(0).alias("part"), "t", "low")).alias("members"))
         edges.append(written(_stars(leaf.select("members"), least), f"leaves-{depth}"))
-        large = written(live.where(F.col("n") > LEAF), f"large-{depth}")
+        large = live.where(F.col("n") > LEAF)
         if not large.head(1):
             break
         if depth == DEPTH:
@@ -235,7 +237,8 @@ def _compare(threshold: float):
         if table["i"][0] != table["j"][0]:
             like &= part[:, None] != part
         root = local_roots(like)
-        return pa.table({"t": pa.array(t, pa.binary()), "links": pa.array((like * n).sum(axis=1).astype(np.int64)), "root": pa.array([t[r] for r in root], pa.binary())})
+        whole = table["m"][0].as_py() <= BLOCK
+        return pa.table({"t": pa.array(t, pa.binary()), "links": pa.array((like * n).sum(axis=1).astype(np.int64)), "root": pa.array([t[r] for r in root], pa.binary()), "whole": pa.array([whole] * len(t), pa.bool_())})
 
     return links
 
@@ -264,12 +267,26 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _only(rows: DataFrame, member: DataFrame, key: list[Column]) -> DataFrame:
+    """rows that may have one of member's keys: a bitmap of hashed keys, at most FILTER_BITS, is broadcast, so that few other rows are moved.
+
+    A larger member table than the bitmap serves lets more rows through; the join that follows decides.
+    """
+    n = member.count()
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (32 * max(n, 1)).bit_length()))
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    words = member.select(place.alias("p")).groupBy(F.floor(F.col("p") / 63).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("__mask"))
+    own = rows.withColumn("__p", place).withColumn("__word", F.floor(F.col("__p") / 63))
+    return own.join(F.broadcast(words), "__word").where(F.expr("shiftright(__mask, cast(__p % 63 as int)) & 1 = 1")).drop("__word", "__mask", "__p")
+
+
 def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """For each distinct text: t, n, root (least t of its component), class_id, links (of documents with other texts)."""
     held = classes(docs, doc_id=doc_id, text=text, n_words=n_words)
     cluster = candidates(held, threshold=threshold, recall=recall)
     size = cluster.groupBy("root").agg(F.count("*").alias("m"))
-    member = cluster.join(size, "root").join(held.select(F.col("t").alias("node"), "n", "rep"), "node").select(F.col("node").alias("t"), F.col("root").alias("cluster"), "m", "n", "rep")
+    member = cluster.join(size, "root").join(held.select(F.col("t").alias("node"), "n", "rep"), "node").select(F.col("node").alias("t"), F.col("root").alias("cluster"), "m", "n", F.col("rep").alias("id"))
+    member = written(member, "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,11 +294,17 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=["t", "cluster", "m", "n", "shingles"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("t", text_key(F.col("text")))
-    texts = own.join(member, (own["t"] == member["t"]) & own["id"].eqNullSafe(member["rep"])).select(member["t"], "cluster", "m", "n", "text")
+    own = _only(own, member, [F.col("t"), F.col("id")])
+    of = member.withColumnsRenamed({"t": "__t", "id": "__id"})
+    texts = own.join(of, (F.col("t") == F.col("__t")) & F.col("id").eqNullSafe(F.col("__id"))).select("t", "cluster", "m", "n", "text")
     found = written(texts.mapInArrow(sets, "t binary, cluster binary, m long, n long, shingles binary").dropDuplicates(["t"]), "shingles")
-    compared = _grid(found, "cluster", F.col("m"), BLOCK).groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), "t binary, links long, root binary")
+    compared = _grid(found, "cluster", F.col("m"), BLOCK).groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), "t binary, links long, root binary, whole boolean")
     linked = written(compared, "links")
-    root = components(linked.select(F.col("t").alias("a"), F.col("root").alias("b")))
+    # a cluster that was compared in one piece has its components already
+    root = linked.where("whole").select(F.col("t").alias("node"), "root")
+    parts = linked.where("not whole").select(F.col("t").alias("a"), F.col("root").alias("b"))
+    if parts.head(1):
+        root = root.unionByName(components(parts))
     links = linked.groupBy("t").agg(F.sum("links").alias("links"))
     out = held.select("t", "n", "rep").join(links, "t", "left").join(root.withColumnRenamed("node", "t"), "t", "left")
     out = written(out.select("t", "n", "rep", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "linked")
