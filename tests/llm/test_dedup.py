@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string"
 
 def duck(spark, sql, docs):
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     said = con.execute(sql)
     return [d[0] for d in said.description], sorted((tuple(r) for r in said.fetchall()), key=str)
 

@@ -73,7 +73,7 @@ def mix_rows():
 def test_mixture_equals_sql(spark):
     docs = spark.createDataFrame(mix_rows(), "doc_id long, source string, text string")
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     want = sorted((tuple(r) for r in con.execute(mixing.ORACLE_SQL).fetchall()), key=str)
     got = mixing.mix(docs).select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies")
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
