@@ -7,14 +7,16 @@ goes on in the gaps between. Coverage is the share of the template's words that
 are aligned.
 
 A license is found where a stretch of a text covers at least least of a
-template. Only stretches around the template's words that are rarest in the
-text are aligned: so many of them that one at least must be aligned if the
-coverage is reached, each with room for the template on both sides and half as
-much for insertions. A text that hasn't enough of the template's words isn't
+template. Stretches lie where a word of the text would be in its place in the
+template, just as long as that, or with a quarter or the whole of its length more on both
+sides; a license that stands twice in a row has no unique words in the longer ones.
+Only the template's words that are rarest in the
+text place stretches: so many of them that one at least must be aligned if the
+coverage is reached. A text that hasn't enough of the template's words isn't
 aligned at all; it can't reach the coverage.
 
 Null and empty texts hold no license. Rows are independent: a null id, repeated
-ids and repeated rows each give their own rows. Ties go to the earliest stretch.
+ids and repeated rows each give their own rows. Ties go to the earliest and shortest stretch.
 """
 
 from __future__ import annotations
@@ -121,18 +123,12 @@ class Template:
         if sum(k for w, k in self.count.items() if w in count) < self.need:
             return None
         # if need words are aligned, at most n - need aren't, so one of the n - need + 1 rarest is
-        rare = {self.words[p] for p in sorted(range(n), key=lambda p: (count[self.words[p]], p))[: n - self.need + 1]}
-        room = n + n // 2 + 4
-        stretches: list[list[int]] = []
-        for q, w in enumerate(text):
-            if w in rare:
-                lo, hi = max(0, q - room), min(len(text), q + room + 1)
-                if stretches and lo <= stretches[-1][2] + n // 2:
-                    stretches[-1][1] = hi
-                else:
-                    stretches.append([lo, hi, lo])
+        rare: dict[str, list[int]] = {}
+        for p in sorted(range(n), key=lambda p: (count[self.words[p]], p))[: n - self.need + 1]:
+            rare.setdefault(self.words[p], []).append(p)
+        shifts = sorted({q - p for q, w in enumerate(text) if w in rare for p in rare[w]})
         best = None
-        for lo, hi, _ in stretches:
+        for lo, hi in dict.fromkeys((max(0, d - room), min(len(text), d + n + room)) for d in shifts for room in (0, n // 4, n)):
             got = align(self.words, text[lo:hi])
             if len(got) >= self.need and (best is None or len(got) > best[0]):
                 best = (len(got), lo + got[0][1], lo + got[-1][1])
