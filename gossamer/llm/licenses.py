@@ -15,6 +15,11 @@ text place stretches: so many of them that one at least must be aligned if the
 coverage is reached. A text that hasn't enough of the template's words isn't
 aligned at all; it can't reach the coverage.
 
+Siblings differ in one or two words, which no coverage can tell. Of a template's
+numbers and words of TELLING each must be aligned, a number with no other number
+between it and the aligned word before; a word of TELLING that stands unaligned in the
+stretch (GNU *Lesser* General Public License) makes it another license.
+
 Null and empty texts hold no license. Rows are independent: a null id, repeated
 ids and repeated rows each give their own rows. Ties go to the earliest and shortest stretch.
 """
@@ -35,6 +40,14 @@ from gossamer.llm._common import chunks, session, text_or_empty
 LEAST = 0.8
 _WORD = re.compile(r"\w+")
 
+#: Words that tell a license from its siblings, as all numbers do.
+TELLING = frozenset(
+    "affero apache appear advertising artistic boost bsd cc cc0 eclipse endorse eupl european gnu gpl isc lesser lgpl agpl mit mozilla mpl epl "
+    "nc nd noncommercial noderivatives noderivs sa sharealike unlicense unlicensed wtfpl zlib".split()
+)
+#: Names that other texts mention in passing: they must be aligned, but may also stand between.
+_NAMES = frozenset("apache artistic boost bsd cc cc0 eclipse eupl european gnu gpl isc lgpl agpl mit mozilla mpl epl unlicense unlicensed wtfpl zlib".split())
+
 # fixed values: notices of public licenses
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -116,6 +129,22 @@ class Template:
         self.name, self.words = name, words(text)
         self.count = Counter(self.words)
         self.need = max(1, -int(-least * len(self.words) // 1))
+        self.must = frozenset(w for w in self.words if w.isdecimal() or w in TELLING)
+
+    def tells(self, got: list[tuple[int, int]], text: list[str]) -> bool:
+        """Whether the words that tell this license from its siblings are aligned, and no sibling's word stands between."""
+        seen = set()
+        for k, (p, q) in enumerate(got):
+            w = self.words[p]
+            if w in self.must and not (w.isdecimal() and k and any(x.isdecimal() for x in text[got[k - 1][1] + 1 : q])):
+                seen.add(w)
+        if len(seen) < len(self.must):
+            return False
+        held = {q for _, q in got}
+        return not any(
+            q not in held and (text[q] in TELLING and text[q] not in _NAMES or text[q] == "library" and text[q - 1] == "gnu")
+            for q in range(got[0][1] + 1, got[-1][1])
+        )
 
     def find(self, text: list[str], count: Counter) -> tuple[int, int, int] | None:
         """Words aligned in the best stretch and its first and last word, if that is enough."""
@@ -130,7 +159,7 @@ class Template:
         best = None
         for lo, hi in dict.fromkeys((max(0, d - room), min(len(text), d + n + room)) for d in shifts for room in (0, n // 4, n)):
             got = align(self.words, text[lo:hi])
-            if len(got) >= self.need and (best is None or len(got) > best[0]):
+            if len(got) >= self.need and (best is None or len(got) > best[0]) and self.tells(got, text[lo:hi]):
                 best = (len(got), lo + got[0][1], lo + got[-1][1])
         return best
 
@@ -151,7 +180,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
                     some = set(split)
                     count = None
                     for x in known:
-                        if sum(k for w, k in x.count.items() if w in some) < x.need:
+                        if not x.must <= some or sum(k for w, k in x.count.items() if w in some) < x.need:
                             continue
                         count = count or Counter(split)
                         if found := x.find(split, count):

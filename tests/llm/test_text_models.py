@@ -166,3 +166,20 @@ def test_scan_cases(spark):
     assert [tuple(r) for r in licenses.scan(docs).collect()] == [(None, "all-rights-reserved", 1.0, 3, 0, 2)] * 2
     assert licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs.where(F.col("doc_id") == 3), templates={"x": "a b", "empty": "!"}).count() == 2
+
+
+def found(spark, texts):
+    got = [set() for _ in texts]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect():
+        got[r["doc_id"]].add(r["license"])
+    return got
+
+
+def test_siblings_are_told_apart(spark):
+    gnu = "This work is licensed under the GNU {} License, version {}"
+    other = ["Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-NC 3.0", gnu.format("General Public", "2"), gnu.format("Lesser General Public", "3"), gnu.format("Library General Public", "3"), gnu.format("General Public", "2, see section 3"), "Licensed under the Eclipse License, Version 2.0"]
+    for t, got in zip(other, found(spark, [f"before {t} after it" for t in other]), strict=True):
+        assert not got & {"CC-BY-NC-4.0", "GPL-3.0", "Apache-2.0"}, t
+    own = [gnu.format("General Public", "3"), "Licensed under CC BY-NC 4.0", "It is licensed, under the Apache License; version 2.0", f"{gnu.format('General Public', '2')}. {gnu.format('General Public', '3')}"]
+    for name, got in zip(["GPL-3.0", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"], found(spark, own), strict=True):
+        assert name in got
