@@ -183,3 +183,22 @@ def test_siblings_are_told_apart(spark):
     own = [gnu.format("General Public", "3"), "Licensed under CC BY-NC 4.0", "It is licensed, under the Apache License; version 2.0", f"{gnu.format('General Public', '2')}. {gnu.format('General Public', '3')}"]
     for name, got in zip(["GPL-3.0", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"], found(spark, own), strict=True):
         assert name in got
+
+
+def test_common_licenses_are_found(spark):
+    free = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = licenses._BSD_2 + "{}" + licenses._DISCLAIMER
+    want = [
+        ("Released under the MIT License.", "MIT-notice"), ("This project is licensed under the terms of the MIT license", "MIT-notice"), ("SPDX-License-Identifier: MIT", "MIT-spdx"),
+        ("Licensed under the GNU General Public License, version 2", "GPL-2.0"), ("Distributed under GPLv3", "GPL-3.0"), ("under the GNU Lesser General Public License v. 2.1", "LGPL-2.1"),
+        (free.format("program", "General Public", "3"), "GPL-3.0-header"), (free.format("program", "General Public", "2"), "GPL-2.0-header"), (free.format("library", "Lesser General Public", "2.1"), "LGPL-2.1-header"), (free.format("program", "Affero General Public", "3"), "AGPL-3.0-header"),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        (bsd.format(""), "BSD-2-Clause-text"), (bsd.format(licenses._BSD_3), "BSD-3-Clause-text"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0-header"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later-spdx"),
+        ("Released under the 3-Clause BSD License", "BSD-3-Clause"), ("Licensed under the Eclipse Public License 2.0", "EPL-2.0"),
+    ]
+    told = ("GPL", "LGPL", "AGPL", "CC-", "BSD-", "MPL", "EPL")
+    for (text, name), got in zip(want, found(spark, [f"word {t} word" for t, _ in want]), strict=True):
+        assert name in got, (text, got)
+        if name.endswith(("-header", "-text")) or name.startswith("CC"):
+            own = name.removesuffix("-header").removesuffix("-text")
+            assert all(x.startswith(own) for x in got if x.startswith(told)), (text, got)
