@@ -12,7 +12,7 @@ similarity of their sets is at least the threshold.
    are a bucket. Buckets of more than LEAF classes are split again on further
    tokens; smaller ones are compared by brute force on the tokens' low bytes.
    Runs repeat until a pair at the threshold is missed by all with a chance
-   below 1 - recall. What is still too large at DEPTH is compared in blocks,
+   below 1 - recall, even if all its buckets are so large that it must share a path down to DEPTH. What is still too large at DEPTH is compared in blocks,
    each pair of blocks once.
 3. Pairs whose estimate is not far below the threshold connect into clusters;
    a bucket gives a star of edges for each, not all pairs.
@@ -196,7 +196,7 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
     """node, root: clusters of classes that may have links."""
     has = held.where("sketch is not null")
     least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    rows = _paths(has, threshold, roots=np.arange(1, runs_needed(recall) + 1, dtype=np.uint64))
+    rows = _paths(has, threshold, roots=np.arange(1, runs_needed(recall, DEPTH) + 1, dtype=np.uint64))
     edges = []
     for depth in range(1, DEPTH + 1):
         rows = written(rows, f"paths-{depth}")

@@ -151,6 +151,18 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert collected(jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)), ["doc_id", "class_id", "n_links"]) == brute_classes(rows)
 
 
+def test_runs_reach_the_recall_at_every_depth(spark, monkeypatch):
+    """A pair is missed by all runs with less than 0.001, however deep its buckets are split."""
+    live = 1.0
+    for _ in range(jaccard.DEPTH):
+        live = 1 - np.exp(-live)
+    used = []
+    paths = jaccard._paths
+    monkeypatch.setattr(jaccard, "_paths", lambda rows, threshold, roots=None: (used.append(roots), paths(rows, threshold, roots))[1])
+    jaccard.candidates(jaccard.classes(spark.createDataFrame(near_rows(2), DOCS))).count()
+    assert (1 - live) ** len(used[0]) < 1 - jaccard.RECALL
+
+
 def test_intersections():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(20)]
