@@ -19,11 +19,15 @@ from gossamer.llm.queries import VOCABULARY
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: those without a letter."""
+    """Rejects documents without a known language: no letter, nothing in common with the nearest profile, or a score far below all labelled rows of its language."""
     profiles = langid.fit(docs.where(fold("doc_id", 3) != 1))
-    told = langid.predict(docs, profiles, pred="__lang", score="__score")
     # where nothing could be learned, nothing is rejected
-    return (told.where(langid.accepted("__lang", "__score")) if profiles.langs else told).select(*docs.columns)
+    if not profiles.langs:
+        return docs
+    # written, so that no text is predicted twice
+    told = written(langid.predict(docs, profiles, pred="__lang", score="__score"), "told")
+    least = langid.least_scores(told, score="__score")
+    return told.where(langid.accepted("__lang", "__score", least=least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,10 @@ from gossamer.llm._words import Memory
 UND = "und"
 LONGEST = 3
 PAD = ord(" ")
+#: How many quartile ranges below the lower quartile a score is far out; scores are counted in bins; fewer rows teach no least score.
+FENCE, BINS, ROWS = 3.0, 10_000, 20
+#: A score of nothing in common is zero.
+TINY = 1e-9
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +185,37 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", pred: st
     return out.withColumn(pred, F.col(f"{hidden}.l")).withColumn(score, F.col(f"{hidden}.s")).drop(hidden)
 
 
+def least_scores(told: DataFrame, *, lang: str = "lang", score: str = "score", fence: float = FENCE, rows: int = ROWS) -> dict[str, float]:
+    """For each language of the labelled rows, the least score that isn't far below theirs: the lower quartile less fence quartile ranges.
+
+    A language with fewer than so many scored rows teaches nothing: there any score above zero is enough.
+    """
+    bins: dict[str, list[tuple[int, int]]] = {}
+    n = told.where((F.col(score) > 0) & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang"), F.floor(F.col(score) * BINS).cast("long").alias("bin")).count()
+    for r in n.collect():
+        bins.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    out = {}
+    for name, held in bins.items():
+        held.sort()
+        upto = np.cumsum([k for _, k in held])
+        low, high = (held[int(np.searchsorted(upto, q * upto[-1]))][0] / BINS for q in (0.25, 0.75))
+        out[name] = max(TINY, low - fence * (high - low)) if upto[-1] >= rows else TINY
+    return out
+
+
 def _unused(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
 
 
-def accepted(pred: str = "lang_pred", score: str = "score", langs: list[str] | None = None, least: float = 0.0) -> Column:
-    """Which predictions a corpus keeps: a known language (one of langs, if given) with at least this score."""
-    good = (F.col(pred) != UND) & (F.col(score) >= least)
+def accepted(pred: str = "lang_pred", score: str = "score", langs: list[str] | None = None, least: float | dict[str, float] = 0.0) -> Column:
+    """Which predictions a corpus keeps: a known language (one of langs, if given) with at least this score, or that of its language."""
+    if isinstance(least, dict):
+        at = F.lit(TINY)
+        for name, x in sorted(least.items()):
+            at = F.when(F.col(pred) == name, F.lit(x)).otherwise(at)
+    else:
+        at = F.lit(least)
+    good = (F.col(pred) != UND) & (F.col(score) >= at)
     return good & F.col(pred).isin(langs) if langs is not None else good

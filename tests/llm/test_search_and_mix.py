@@ -146,3 +146,14 @@ def test_pipeline_equals_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     assert all(r["ids"] == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in run["bpe_tokens"](spark, mixed, SF).collect())
     assert langid.UND == "und"
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "漢字仮名交じり文の例です", "qzx jkq wvx zzkq xqj pfg vbkq zxw qjk xvq wzk " * 3, "Hyvää huomenta kaikille ystäville Suomessa tänään ja huomenna myös", "12 34 !!"]
+    rows = docs.limit(len(planted)).collect()
+    fields = [{**r.asDict(), "doc_id": 10**6 + k, "text": t, "lang": None, "n_chars": len(t)} for k, (r, t) in enumerate(zip(rows, planted, strict=True))]
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame([tuple(f[c] for c in docs.columns) for f in fields], docs.schema)), SF)
+    got = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not got & {10**6 + k for k in range(len(planted))}
+    assert got == {r["doc_id"] for r in docs.select("doc_id", "text").collect() if r["text"] and any(ch.isalpha() for ch in r["text"])}
