@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm import bpe, jaccard, langid, lines, mixing
-from gossamer.llm._common import fold, written
+from gossamer.llm._common import fold, unused, written
 from gossamer.llm.queries import VOCABULARY
 
 
@@ -25,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not profiles.langs:
         return docs
     # written, so that no text is predicted twice
-    told = written(langid.predict(docs, profiles, pred="__lang", score="__score"), "told")
-    least = langid.least_scores(told, score="__score")
-    return told.where(langid.accepted("__lang", "__score", least=least)).select(*docs.columns)
+    lang, score = unused(docs, "told_lang", "told_score")
+    told = written(langid.predict(docs, profiles, pred=lang, score=score), "told")
+    least = langid.least_scores(told, score=score)
+    return told.where(langid.accepted(lang, score, least=least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

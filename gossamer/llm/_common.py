@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN_DIR: dict[str, str] = {}
+#: A written table has so many files for each core at most.
+FILES_PER_CORE = 4
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -25,10 +28,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset, on one machine (tests) a folder of our own, on a cluster an error."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if said:
         return said.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="gossamer-")
@@ -39,11 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them again.
 
     Executors may be lost later without anything being computed anew, and
-    whatever was random in the plan stays as it was written.
+    whatever was random in the plan stays as it was written. Partitions beyond
+    FILES_PER_CORE for each core share a task and a file, one after the other:
+    they would wait for a core anyway, and a loop would leave very many small files.
     """
-    path = f"{shared_dir(df.sparkSession)}/gossamer/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gossamer/{name}-{uuid.uuid4().hex}"
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes not to be a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:

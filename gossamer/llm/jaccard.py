@@ -12,12 +12,15 @@ similarity of their sets is at least the threshold.
    are a bucket. Buckets of more than LEAF classes are split again on further
    tokens; smaller ones are compared by brute force on the tokens' low bytes.
    Runs repeat until a pair at the threshold is missed by all with a chance
-   below 1 - recall, even if all its buckets are so large that it must share a path down to DEPTH. What is still too large at DEPTH is compared in blocks,
+   below 1 - recall, even if all its buckets are so large that it must share a
+   path down to DEPTH. What is still too large at DEPTH is compared in blocks,
    each pair of blocks once.
 3. Pairs whose estimate is not far below the threshold connect into clusters;
-   a bucket gives a star of edges for each, not all pairs.
-4. Within a cluster all pairs are compared exactly, on the sets of 64-bit
-   shingle hashes; a cluster of more than BLOCK classes in pairs of blocks.
+   a task hands on a spanning forest of what its buckets connect, not all pairs.
+4. Within a cluster pairs are compared exactly, on the sets of 64-bit shingle
+   hashes. A cluster beyond BLOCK classes or BLOCK_BYTES of hashes is cut by the
+   size of the sets, into steps of 1 / threshold: linked sets lie in one step or
+   in neighbours. A step is cut into blocks, and pairs of blocks are compared.
    That also finds pairs that every run has missed, if both are in one cluster.
 
 A class id is the smallest doc_id of a connected component of links, a
@@ -39,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, text_or_empty, written
+from gossamer.llm._common import chunks, session, text_or_empty, unused, written
 from gossamer.llm._components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-SKETCH, LEAF, DEPTH, BLOCK = 128, 96, 4, 256
-#: The bitmap that is broadcast before texts are moved: 16 MB at most.
-FILTER_BITS = 1 << 27
+SKETCH, LEAF, DEPTH, BLOCK = 128, 96, 4, 512
+BLOCK_BYTES = 4_000_000
+#: Of the bitmap that is broadcast before texts are moved: 533,000 rows of 16 bytes at most.
+FILTER_BITS = 1 << 25
+#: A task remembers what it has connected of so many classes.
+FOREST = 200_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -145,10 +151,32 @@ def _paths(rows: DataFrame, threshold: float, roots: np.ndarray | None = None) -
     return rows.select("t", "sketch", *([] if roots is not None else ["key"])).mapInArrow(run, "key long, t binary")
 
 
+class Forest:
+    """Joins nodes; join says whether they weren't connected yet. Beyond FOREST nodes it forgets."""
+
+    def __init__(self, most: int = FOREST):
+        self.most = most
+        self.up: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        if len(self.up) >= self.most:
+            self.up = {}
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _stars(lists: DataFrame, least: float) -> DataFrame:
-    """Edges a, b from rows of part (0 or 1), t, low gathered in lists: stars of what is alike; with both parts, across them only."""
+    """Edges a, b from rows of part (0 or 1), t, low gathered in lists: what is alike, each component of a task by a tree; with both parts, across them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             a, b = [], []
             for members in batch.column(0).to_pylist():
@@ -163,7 +191,7 @@ def _stars(lists: DataFrame, least: float) -> DataFrame:
                 if part.any():
                     like &= part[:, None] != part
                 for i, r in enumerate(local_roots(like)):
-                    if i != r:
+                    if i != r and forest.join(t[i], t[r]):
                         a.append(t[i])
                         b.append(t[r])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -223,22 +251,45 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
     return written(components(found), "clusters")
 
 
+def _cells(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of cluster, t, shingles, dealt to cells of pairs of blocks that may hold links, so that each pair of rows meets once at most.
+
+    A cell is (cluster, lo, i, hi, j): block i of step lo against block j of
+    step hi, which is lo or lo + 1; part is 1 for rows of the second block of a
+    cell of two. whole: the cell is all of the cluster.
+    """
+    size = F.octet_length("shingles")
+    clusters = rows.groupBy("cluster").agg((F.count("*") <= BLOCK).alias("few"), (F.sum(size) <= BLOCK_BYTES).alias("light")).select("cluster", (F.col("few") & F.col("light")).alias("whole"))
+    # a little more than 1 / threshold, so that rounding never parts neighbours
+    step = F.floor(F.log(F.greatest(size / 8, F.lit(1.0))) / F.lit(math.log(1 / threshold) * (1 + 1e-9))).cast("int")
+    rows = rows.join(written(clusters, "whole"), "cluster").withColumn("step", F.when(F.col("whole"), F.lit(0)).otherwise(step))
+    steps = written(rows.groupBy("cluster", "step").agg(F.count("*").alias("c"), F.sum(size).alias("b"), F.first("whole").alias("whole")).select("cluster", "step", F.when(F.col("whole"), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")).alias("blocks")), "steps")
+    beside = lambda k, name: steps.select("cluster", (F.col("step") + k).alias("step"), F.col("blocks").alias(name))
+    around = written(steps.join(beside(1, "below"), ["cluster", "step"], "left").join(beside(-1, "above"), ["cluster", "step"], "left"), "around")
+    rows = rows.join(around, ["cluster", "step"]).withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    cell = lambda lo, i, hi, j, part: F.struct(lo.alias("lo"), i.cast("int").alias("i"), hi.alias("hi"), j.cast("int").alias("j"), part.cast("int").alias("part"))
+    up_to = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), make)).otherwise(F.array())
+    own, at = F.col("own"), F.col("step")
+    same = up_to(F.col("blocks"), lambda k: cell(at, F.least(own, k), at, F.greatest(own, k), own > k))
+    below = up_to(F.coalesce("below", F.lit(0)), lambda k: cell(at - 1, k, at, own, F.lit(1)))
+    above = up_to(F.coalesce("above", F.lit(0)), lambda k: cell(at, own, at + 1, k, F.lit(0)))
+    return rows.select("t", "cluster", "n", "whole", "shingles", F.explode(F.concat(same, below, above)).alias("cell")).select("t", "cluster", "n", "whole", "shingles", "cell.*")
+
+
 def _compare(threshold: float):
     def links(table: pa.Table) -> pa.Table:
-        """Of one cluster, or a pair of its blocks: each class's linked documents and the least class that it reaches here."""
+        """Of one cell: each class's linked documents and the least class that it reaches here."""
         t, n = table["t"].to_pylist(), table["n"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         part = table["part"].to_numpy()
         size = np.array([len(s) for s in sets], np.int64)
         inter = intersections(sets)
-        union = size[:, None] + size - inter
-        like = inter >= threshold * union - 1e-9
+        like = inter >= threshold * (size[:, None] + size - inter) - 1e-9
         np.fill_diagonal(like, False)
-        if table["i"][0] != table["j"][0]:
+        if table["i"][0] != table["j"][0] or table["lo"][0] != table["hi"][0]:
             like &= part[:, None] != part
         root = local_roots(like)
-        whole = table["m"][0].as_py() <= BLOCK
-        return pa.table({"t": pa.array(t, pa.binary()), "links": pa.array((like * n).sum(axis=1).astype(np.int64)), "root": pa.array([t[r] for r in root], pa.binary()), "whole": pa.array([whole] * len(t), pa.bool_())})
+        return pa.table({"t": pa.array(t, pa.binary()), "links": pa.array((like * n).sum(axis=1).astype(np.int64)), "root": pa.array([t[r] for r in root], pa.binary()), "whole": table["whole"]})
 
     return links
 
@@ -284,21 +335,20 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """For each distinct text: t, n, root (least t of its component), class_id, links (of documents with other texts)."""
     held = classes(docs, doc_id=doc_id, text=text, n_words=n_words)
     cluster = candidates(held, threshold=threshold, recall=recall)
-    size = cluster.groupBy("root").agg(F.count("*").alias("m"))
-    member = cluster.join(size, "root").join(held.select(F.col("t").alias("node"), "n", "rep"), "node").select(F.col("node").alias("t"), F.col("root").alias("cluster"), "m", "n", F.col("rep").alias("id"))
+    member = cluster.join(held.select(F.col("t").alias("node"), "n", "rep"), "node").select(F.col("node").alias("t"), F.col("root").alias("cluster"), "n", F.col("rep").alias("id"))
     member = written(member, "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [s.tobytes() for part in chunks(batch.column(4).to_pylist()) for s in shingles(part, n_words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=["t", "cluster", "m", "n", "shingles"])
+            got = [s.tobytes() for part in chunks(batch.column(3).to_pylist()) for s in shingles(part, n_words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["t", "cluster", "n", "shingles"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("t", text_key(F.col("text")))
     own = _only(own, member, [F.col("t"), F.col("id")])
     of = member.withColumnsRenamed({"t": "__t", "id": "__id"})
-    texts = own.join(of, (F.col("t") == F.col("__t")) & F.col("id").eqNullSafe(F.col("__id"))).select("t", "cluster", "m", "n", "text")
-    found = written(texts.mapInArrow(sets, "t binary, cluster binary, m long, n long, shingles binary").dropDuplicates(["t"]), "shingles")
-    compared = _grid(found, "cluster", F.col("m"), BLOCK).groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), "t binary, links long, root binary, whole boolean")
+    texts = own.join(of, (F.col("t") == F.col("__t")) & F.col("id").eqNullSafe(F.col("__id"))).select("t", "cluster", "n", "text")
+    found = written(texts.mapInArrow(sets, "t binary, cluster binary, n long, shingles binary").dropDuplicates(["t"]), "shingles")
+    compared = _cells(found, threshold).groupBy("cluster", "lo", "i", "hi", "j").applyInArrow(_compare(threshold), "t binary, links long, root binary, whole boolean")
     linked = written(compared, "links")
     # a cluster that was compared in one piece has its components already
     root = linked.where("whole").select(F.col("t").alias("node"), "root")
@@ -319,8 +369,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay if each class keeps one document, that of the class id."""
-    found = link_classes(docs, doc_id=doc_id, text=text, **how).select(F.col("t").alias("__t"), F.col("root").alias("__root"), F.col("class_id").alias("__class"))
-    rows = docs.withColumn("__t", text_key(text_or_empty(text))).join(found, "__t").where(F.col(doc_id).cast("long").eqNullSafe(F.col("__class")))
-    first = Window.partitionBy("__root").orderBy("__t", *[F.col(c).cast("string") for c in docs.columns if c not in (doc_id, text)])
-    return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(*docs.columns)
+    """The rows of docs that stay if each class keeps one document, that of the class id. All columns stay, whatever their names."""
+    t, root, least, r = unused(docs, "t", "root", "class", "r")
+    found = link_classes(docs, doc_id=doc_id, text=text, **how).select(F.col("t").alias(t), F.col("root").alias(root), F.col("class_id").alias(least))
+    rows = docs.withColumn(t, text_key(text_or_empty(text))).join(found, t).where(F.col(doc_id).cast("long").eqNullSafe(F.col(least)))
+    first = Window.partitionBy(root).orderBy(t, *[F.col(c).cast("string") for c in docs.columns if c not in (doc_id, text)])
+    return rows.withColumn(r, F.row_number().over(first)).where(F.col(r) == 1).select(*docs.columns)

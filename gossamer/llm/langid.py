@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session
+from gossamer.llm._common import chunks, session, unused
 from gossamer.llm._words import Memory
 
 UND = "und"
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", pred: st
             yield judge(values, count)
 
     said = F.arrow_udf(run, "l string, s double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string"))
-    hidden = _unused(docs, "said")
+    (hidden,) = unused(docs, "said")
     out = docs.withColumn(hidden, said)
     return out.withColumn(pred, F.col(f"{hidden}.l")).withColumn(score, F.col(f"{hidden}.s")).drop(hidden)
 
@@ -203,12 +203,6 @@ def least_scores(told: DataFrame, *, lang: str = "lang", score: str = "score", f
     return out
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def accepted(pred: str = "lang_pred", score: str = "score", langs: list[str] | None = None, least: float | dict[str, float] = 0.0) -> Column:
     """Which predictions a corpus keeps: a known language (one of langs, if given) with at least this score, or that of its language."""
     if isinstance(least, dict):
