@@ -220,12 +220,28 @@ def test_multikey_sort_is_the_order_of_bytes():
     assert [rows[i].tobytes() for i in order] == sorted(r.tobytes() for r in rows)
 
 
+def test_multikey_sort_of_large_ranges(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = np.concatenate((rng.integers(0, 2, (400, 20)), np.tile(rng.integers(0, 3, (1, 20)), (150, 1)), rng.integers(0, 256, (200, 20)))).astype(np.uint8)
+    for small in (2, 40):
+        monkeypatch.setattr(substrings, "SMALL", small)
+        order = substrings.multikey_sort(rows)
+        assert sorted(order.tolist()) == list(range(750)) and [rows[i].tobytes() for i in order] == sorted(r.tobytes() for r in rows)
+
+
+def test_repeats_equal_sql(spark):
+    rows = repeat_rows(11)
+    docs = spark.createDataFrame(rows, DOCS)
+    names, want = duck(spark, substrings.ORACLE_SQL, docs)
+    assert collected(substrings.remove_repeats(docs), names) == want
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     data = np.frombuffer("".join(random.Random(1).choice("ab") for _ in range(900)).encode(), np.uint8)
     ends = np.array([400, 400, 900])
     whole = substrings.anchors(data, ends)
     monkeypatch.setattr(substrings, "SEGMENT", 64)
-    windows = lambda x: sorted((int(p) - k, int(p)) for p, _, a, b in zip(*x, strict=True) for k in range(a, b + 1))
+    windows = lambda x: sorted((int(p) - k, int(p)) for p, a, b in zip(*x, strict=True) for k in range(a, b + 1))
     assert windows(substrings.anchors(data, ends)) == windows(whole)
     assert [w for w, _ in windows(whole)] == [k for k in range(900 - 49) if k + 49 < 400 or k >= 400]
 
