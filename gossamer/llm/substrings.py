@@ -43,7 +43,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,16 +270,14 @@ class Piece:
 
 
 def pieces(rows: Iterator[pa.RecordBatch], piece_bytes: int) -> Iterator[pa.RecordBatch]:
-    ids, texts, size, n = [], [], 0, 0
-    task = TaskContext.get()
-    top = (task.partitionId() if task else 0) << 32
+    ids, texts, size = [], [], 0
 
     def one() -> pa.RecordBatch:
         ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
         data = np.frombuffer(b"".join(texts), np.uint8)
         p, near, far = anchors(data, ends)
         held = np.diff(p, prepend=0).astype(np.uint32).tobytes() + near.astype(np.uint8).tobytes() + far.astype(np.uint8).tobytes()
-        return pa.RecordBatch.from_pydict({"piece": [top + n], "size": [len(data)], "ids": [pack(np.array(ids, np.int64).tobytes())], "ends": [pack(ends.tobytes())], "data": [pack(data.tobytes())], "anchors": [pack(held)]})
+        return pa.RecordBatch.from_pydict({"size": [len(data)], "ids": [pack(np.array(ids, np.int64).tobytes())], "ends": [pack(ends.tobytes())], "data": [pack(data.tobytes())], "anchors": [pack(held)]})
 
     for batch in rows:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -289,12 +286,12 @@ def pieces(rows: Iterator[pa.RecordBatch], piece_bytes: int) -> Iterator[pa.Reco
             size += len(texts[-1])
             if size >= piece_bytes or len(ids) >= 100_000:
                 yield one()
-                ids, texts, size, n = [], [], 0, n + 1
+                ids, texts, size = [], [], 0
     if ids:
         yield one()
 
 
-PIECE = "piece long, size long, ids binary, ends binary, data binary, anchors binary"
+PIECE = "size long, ids binary, ends binary, data binary, anchors binary"
 HELD = ["piece", "ids", "ends", "data", "anchors"]
 
 
@@ -365,7 +362,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes as kept (binary)."""
     spark = session(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    held = written(rows.mapInArrow(lambda x: pieces(x, piece_bytes), PIECE), "pieces")
+    held = written(rows.mapInArrow(lambda x: pieces(x, piece_bytes), PIECE).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     n, size = held.agg(F.count("*"), F.sum("size")).first()
     least = min(n or 1, partitions(spark))
     hashed = max(1, -(-(size or 0) // bucket_bytes), least)
