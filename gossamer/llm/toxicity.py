@@ -4,12 +4,16 @@ A word is the bag of its character n-grams (3 to 5 bytes, with marks for its
 ends) and of itself, each hashed to a bucket that has an embedding. A word's
 vector is the mean over its bag, a document's the mean over its distinct words, and a
 linear softmax over the two labels follows; embeddings and softmax are trained
-together in numpy by minibatch AdaGrad. A misspelt word that training never saw
-still shares most of its n-grams' vectors.
+together in numpy, on all rows of the sample in each step. A bucket's vector is
+scaled by how rare it is, so that the n-grams of every sentence don't drown the
+few that tell; weight decay holds back what few documents have. A misspelt word
+that training never saw still shares most of its n-grams' vectors.
 
 Trained on a bounded sample: at most max_rows_per_label whole texts of either
-label (chosen by a hash of the id), weighted so that the labels count as in
-all labelled rows. Every text is scored whole. Null and empty texts have no
+label, those of the least hashes of their ids, and of these no more than
+max_chars code points (a text that would go beyond is passed over), weighted so
+that the labels count as in all labelled rows. Of texts of one id the least in
+order is learned from. Every text is scored whole. Null and empty texts have no
 words; their score is that of the trained bias. Without labelled rows of both
 labels each score is the share of the label that there is (0 if none). A label
 other than 0 or 1, or null, isn't learned from. Rows are independent.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, text_or_empty
+from gossamer.llm._common import chunks, session, text_or_empty, written
 from gossamer.llm._words import Memory
 
 BUCKETS = 1 << 16
@@ -70,7 +74,7 @@ def features(texts: list[str], memory: Memory) -> Iterator[tuple[np.ndarray, np.
         flat, size = memory.values(np.unique(codes))
         x = np.bincount(flat, np.repeat(1 / np.maximum(size, 1), size), BUCKETS) / max((size > 0).sum(), 1)
         at = np.flatnonzero(x)
-        yield at, x[at]
+        yield at.astype(np.int32), x[at].astype(np.float32)
 
 
 @dataclass
@@ -94,83 +98,94 @@ class Model:
         return total[has] / size[has], has.astype(np.int64)
 
 
-def train(buckets: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 2.0, floor: float = 1.0, seed: int = 7) -> Model:
-    """Embeddings and softmax together, from documents given as sparse rows.
+class Rows:
+    """Documents as rows of buckets and weights; products with all of them, so many entries at a time."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+        self.parts: list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, at = len(docs), 0
+        while at < len(docs):
+            end, size = at, 0
+            while end < len(docs) and (end == at or size + len(docs[end][0]) <= most):
+                size += len(docs[end][0])
+                end += 1
+            own = docs[at:end]
+            self.parts.append((slice(at, end), np.concatenate([b for b, _ in own]).astype(np.int32), np.concatenate([w for _, w in own]).astype(np.float32), np.array([len(b) for b, _ in own])))
+            at = end
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        """Each row's weighted sum of u over its buckets."""
+        out = np.zeros(self.n)
+        for rows, b, w, size in self.parts:
+            out[rows] = np.bincount(np.repeat(np.arange(len(size)), size), w * u[b], len(size))
+        return out
+
+    def back(self, r: np.ndarray, power: int = 1) -> np.ndarray:
+        """Each bucket's sum over rows of r times the weight there to a power."""
+        out = np.zeros(BUCKETS)
+        for rows, b, w, size in self.parts:
+            out += np.bincount(b, np.repeat(r[rows], size) * w**power, BUCKETS)
+        return out
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, importance: np.ndarray, *, steps: int = 100, rate: float = 0.02, decay: float = 0.01, least_docs: int = 3, floor: float = 2e-4, seed: int = 7) -> Model:
+    """Embeddings and softmax together, from documents given as buckets and weights, by RMSProp with momentum and a falling rate.
 
-    floor: what AdaGrad's sum of squares starts from for embeddings, so that
-    n-grams that few documents have don't take large steps.
+    Of two labels the softmax sees the difference of their weights only, so a
+    row's gradient is its residual along that difference: one product with all
+    rows a step, whatever DIM is. Buckets of fewer than least_docs documents
+    have no vector; floor bounds how much a rare one is scaled up.
     """
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.01, (BUCKETS, DIM))
-    out = rng.normal(0, 0.5, (DIM, 2))
-    bias = np.zeros(2)
-    g_emb, g_out, g_bias = np.full(BUCKETS, floor), np.full(out.shape, 1e-6), np.full(2, 1e-6)
-    hot = np.eye(2)[labels]
-    seen, place = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            flat = np.concatenate([buckets[i] for i in rows])
-            w = np.concatenate([weights[i] for i in rows])
-            size = np.array([len(buckets[i]) for i in rows])
-            of = np.repeat(np.arange(len(rows)), size)
-            part = emb[flat] * w[:, None]
-            doc = np.zeros((len(rows), DIM))
-            has = size > 0
-            if has.any():
-                doc[has] = np.add.reduceat(part, (np.cumsum(size) - size)[has], axis=0)
-            z = doc @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - hot[rows]) * importance[rows][:, None]
-            d_doc = d @ out.T
-            d_out, d_bias = doc.T @ d, d.sum(axis=0)
-            g_out += d_out**2
-            g_bias += d_bias**2
-            out -= rate * d_out / np.sqrt(g_out)
-            bias -= rate * d_bias / np.sqrt(g_bias)
-            seen[:] = False
-            seen[flat] = True
-            used = np.flatnonzero(seen)
-            place[used] = np.arange(len(used))
-            inverse = place[flat]
-            grad = np.stack([np.bincount(inverse, w * d_doc[of, k], len(used)) for k in range(DIM)], axis=1)
-            g_emb[used] += (grad**2).mean(axis=1)
-            emb[used] -= rate * grad / np.sqrt(g_emb[used])[:, None]
-    turn = out[:, 1] - out[:, 0]
-    return Model(emb @ turn, float(bias[1] - bias[0]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows_per_label: int = 2000) -> Model:
-    """Learns from the texts of docs that labels has a 0 or 1 for. What is broadcast is the sample's ids, about two times max_rows_per_label."""
-    session(docs)
-    rows = labels.select(F.col(doc_id).cast("string").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    rows, share = Rows(docs), importance / importance.sum()
+    even = np.full(rows.n, 1 / max(1, rows.n))
+    scale = (rows.back(np.ones(rows.n), 0) >= least_docs) / (np.sqrt(rows.back(even, 2)) + floor)
+    mean = rows.back(even)
+    emb, out = rng.normal(0, 1e-3, (BUCKETS, DIM)), rng.normal(0, DIM**-0.5, (DIM, 2))
+    prior = float((share * labels).sum())
+    bias = np.log(prior / (1 - prior))
+    held: list[tuple[np.ndarray, np.ndarray]] | None = None
+    for step in range(steps):
+        turn = out[:, 1] - out[:, 0]
+        u = scale * (emb @ turn)
+        z = rows.times(u) - mean @ u + bias
+        r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) * share
+        g = scale * (rows.back(r) - mean * r.sum())
+        along = emb.T @ g
+        grads = (np.outer(g, turn) + decay * emb, np.stack((-along, along), axis=1))
+        held = [(0.9 * m + 0.1 * x, 0.9 * q + 0.1 * x * x) for (m, q), x in zip(held, grads, strict=True)] if held else [(0.1 * x, x * x) for x in grads]
+        left = rate * (1 - step / steps)
+        emb -= left * held[0][0] / np.sqrt(held[0][1] + 1e-14)
+        out -= 0.1 * left * held[1][0] / np.sqrt(held[1][1] + 1e-14)
+        bias -= 5 * left * r.sum()
+    u = scale * (emb @ (out[:, 1] - out[:, 0]))
+    return Model(u, float(bias - mean @ u))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows_per_label: int = 2000, max_chars: int = 32_000_000) -> Model:
+    """Learns from the texts of docs that labels has a 0 or 1 for. What is broadcast is the sample's ids, two times max_rows_per_label at most."""
+    spark = session(docs)
+    rows = labels.select(F.col(doc_id).cast("string").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null").distinct()
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Model(np.zeros(BUCKETS), 40.0 if 1 in total else -40.0)
-    share = F.when(F.col("y") == 1, F.lit(min(1_000_000, max_rows_per_label * 1_000_000 // total[1]))).otherwise(F.lit(min(1_000_000, max_rows_per_label * 1_000_000 // total[0])))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
-    sample = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(bag, 100_000)
-        for batch in batches:
-            got = [x for part in chunks(batch.column(2).to_pylist()) for x in features(part, memory)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))], names=["id", "y", "b", "w"])
-
-    got = sample.mapInArrow(run, "id string, y int, b array<int>, w array<float>").toArrow()
-    if not got.num_rows:
-        return Model(np.zeros(BUCKETS), float(np.log(total[1] / total[0])))
-    order = np.lexsort((got["y"].to_numpy(), np.array(got["id"].fill_null("").to_pylist(), object).astype(str)))
-    col = lambda k: (c := got[k].combine_chunks(), c.values.to_numpy(), c.offsets.to_numpy())
-    (_, b, cut), (_, w, _) = col("b"), col("w")
-    y = got["y"].to_numpy()[order]
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), float(np.log(total[1] / total[0])))
+    first = [F.xxhash64("id"), F.col("id")]
+    chosen = rows.where("y = 0").orderBy(*first).limit(max_rows_per_label).unionByName(rows.where("y = 1").orderBy(*first).limit(max_rows_per_label))
+    sample = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id")
+    sample = written(sample.groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id")), "toxicity-sample")
+    kept, so_far = [], 0
+    for r in sorted(sample.select("h", "id", "y", F.length("text").alias("n")).collect()):
+        if so_far + r["n"] <= max_chars:
+            so_far += r["n"]
+            kept.append((r["id"], r["y"]))
+    got = sorted(sample.join(F.broadcast(spark.createDataFrame(kept, "id string, y int")), ["id", "y"]).select("id", "y", "text").collect()) if kept else []
+    y = np.array([r["y"] for r in got], np.int64)
     n = np.bincount(y, minlength=2)
-    weight = np.array([total[0] / n[0], total[1] / n[1]]) * len(y) / (total[0] + total[1])
-    return train([b[cut[i] : cut[i + 1]] for i in order], [w[cut[i] : cut[i + 1]].astype(np.float64) for i in order], y, weight[y])
+    if not n.all():
+        return Model(np.zeros(BUCKETS), float(np.log(total[1] / total[0])))
+    weight = np.array([total[0] / n[0], total[1] / n[1]])
+    memory = Memory(bag, 100_000)
+    return train([x for part in chunks([r["text"] for r in got]) for x in features(part, memory)], y, weight[y])
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
