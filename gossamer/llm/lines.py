@@ -20,8 +20,7 @@ in clean text.
 Null text stays null and has no lines here. A null id is smaller than any
 other. Rows of equal id are told apart by their text and in that order; rows
 that are equal in both are treated alike, as one document. The order of
-columns and all other columns stay; names that begin with two underscores are
-the operator's own.
+columns and all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import session, written
+from gossamer.llm._common import session, unused, written
 
 GRAM, WINDOW = 2, 2
 RUN = WINDOW + GRAM - 1
@@ -81,7 +80,8 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
 
     rows = docs.where(F.col(text).isNotNull()).select(*_key(F.col(doc_id), F.col(text)), F.col(text).cast("string").alias("text"))
-    marks = written(rows.where(F.instr("text", "\n") > 0).mapInArrow(winnow, "__id long, __text binary, h binary, at int, run array<binary>, start int"), "fingerprints")
+    # no run fits into fewer lines; split stops at so many
+    marks = written(rows.where(F.size(F.split("text", "\n", run)) >= run).mapInArrow(winnow, "__id long, __text binary, h binary, at int, run array<binary>, start int"), "fingerprints")
     # what is joined to a key that many rows may have is written first: then Spark can split that key's rows
     again = written(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("i"), F.col("__text").alias("t"), F.col("p"))
@@ -94,14 +94,16 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, report: bool = False) -> DataFrame:
     """docs without the repeated runs; with report also n_lines and n_removed (0 for null text), which replace columns of these names."""
-    gone = repeated_lines(docs, doc_id=doc_id, text=text, gram=gram, window=window).select(F.col("__id").alias("__gid"), F.col("__text").alias("__gtext"), F.col("gone").alias("__gone"))
+    own_id, own_text, gid, gtext, gone = unused(docs, "id", "text_hash", "gone_id", "gone_text", "gone_lines")
+    found = repeated_lines(docs, doc_id=doc_id, text=text, gram=gram, window=window).select(F.col("__id").alias(gid), F.col("__text").alias(gtext), F.col("gone").alias(gone))
     i, t = _key(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__id": i, "__text": t})
-    rows = rows.join(gone, (rows["__text"] == gone["__gtext"]) & rows["__id"].eqNullSafe(gone["__gid"]) & rows[text].isNotNull(), "left")
+    rows = docs.withColumns({own_id: i, own_text: t})
+    rows = rows.join(found, (F.col(own_text) == F.col(gtext)) & F.col(own_id).eqNullSafe(F.col(gid)) & F.col(text).isNotNull(), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    more = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if report else {}
+    # the numbers that stay come from one pass over both lists; the lambda binds the lines, so that they are split once
+    kept = F.transform(F.array(lines), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda k: F.get(x, k)))[0]
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    more = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")} if report else {}
     kinds = dict(docs.dtypes)
     out = [new.cast(kinds[text]).alias(text) if c == text else F.col(c) for c in docs.columns if c not in more]
     return rows.select(*out, *[F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(c).alias(k) for k, c in more.items()])
