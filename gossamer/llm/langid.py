@@ -7,7 +7,8 @@ the sum of the differences of ranks, the profile's length for an n-gram that
 the profile lacks. The nearest language wins, ties go to the smaller name.
 
 The profiles are fitted on a bounded sample of labelled rows: about
-max_rows_per_lang whole texts of each language, chosen by a hash of the id.
+max_rows_per_lang whole texts of each language, chosen by a hash of the id, of
+the max_langs languages that have most rows (ties go to the smaller name).
 Every text is predicted whole. Null text, or text without a letter: `und` and
 score 0; so is every text if nothing could be learned. Rows are independent:
 a null id, repeated ids and repeated rows each give their own row.
@@ -85,62 +86,60 @@ class Profiles:
 
 
 class Counter:
-    """Counts a document's grams through the word memory."""
+    """Counts a document's grams through the word memory, which holds each word's grams."""
 
     def __init__(self):
-        self.words = Memory(self.derive)
-        self.number: dict[int, int] = {}
-        self.gram = np.empty(0, np.int64)
-
-    def derive(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, size = grams(words)
-        distinct, inverse = np.unique(flat, return_inverse=True)
-        for g in distinct.tolist():
-            self.number.setdefault(g, len(self.number))
-        self.gram = np.fromiter(self.number, np.int64, len(self.number))
-        return np.array([self.number[g] for g in distinct.tolist()], np.int64)[inverse] if len(flat) else flat, size
-
-    def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each text, how often it has each gram of self.gram."""
+        self.words = Memory(grams)
+
+    def counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its distinct grams, ascending, and how often it has each."""
         for codes in self.words.codes([t.lower().split() for t in texts]):
             words, times = np.unique(codes, return_counts=True)
             flat, size = self.words.values(words)
-            yield np.bincount(flat, np.repeat(times, size), len(self.gram))
+            yield summed(flat, np.repeat(times, size))
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of n for each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n[order], first)
+
 
-    def top(self, n: np.ndarray, length: int) -> np.ndarray:
-        """The most frequent grams, ties by the gram itself."""
-        at = np.flatnonzero(n)
-        if len(at) > length:
-            least = np.partition(n[at], len(at) - length)[len(at) - length]
-            at = at[n[at] >= least]
-        return self.gram[at[np.lexsort((self.gram[at], -n[at]))]][:length]
+def most_frequent(gram: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """The most frequent of a document's grams in that order, ties by the gram itself."""
+    if len(gram) > length:
+        some = n >= np.partition(n, len(n) - length)[len(n) - length]
+        gram, n = gram[some], n[some]
+    return gram[np.argsort(-n, kind="stable")][:length]
 
 
-def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = 400, max_rows_per_lang: int = 2000) -> Profiles:
+def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = 400, max_rows_per_lang: int = 2000, max_langs: int = 1000) -> Profiles:
     """Learns a profile of `length` n-grams for each language of the rows that have a text and a language."""
-    session(train)
+    spark = session(train)
     rows = train.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not total:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64), length)
-    share = F.lit(0)
-    for name, n in sorted(total.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1_000_000, -(-max_rows_per_lang * 1_000_000 // n)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    # hashes lie between -2^63 and 2^63
+    below = spark.createDataFrame([(r["lang"], min(1.0, max_rows_per_lang / r["n"]) * 2.0**64 - 2.0**63) for r in total], "lang string, below double")
+    sample = rows.join(F.broadcast(below), "lang").where(F.coalesce(F.xxhash64("id").cast("double"), F.lit(0.0)) < F.col("below"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter()
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
             for part in chunks(batch.column(1).to_pylist()):
-                for n in count.counts(part):
-                    old = sums.get(names[at], np.zeros(0))
-                    sums[names[at]] = n if not len(old) else n + np.pad(old, (0, len(n) - len(old)))
-                    at += 1
-        for name, n in sums.items():
-            has = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(has), pa.string()), pa.array(count.gram[has], pa.int64()), pa.array(n[has].astype(np.int64), pa.int64())], names=["lang", "gram", "n"])
+                own: dict[str, list] = {}
+                for name, held in zip(names[at:], count.counts(part)):
+                    own.setdefault(name, []).append(held)
+                at += len(part)
+                for name, held in own.items():
+                    gram, n = summed(np.concatenate([g for g, _ in held]), np.concatenate([k for _, k in held]))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n.astype(np.int64), pa.int64())], names=["lang", "gram", "n"])
 
     n = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = [F.desc("n"), F.asc("gram")]
@@ -162,8 +161,8 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", pred: st
     def judge(values: pa.Array, count: Counter) -> pa.Array:
         langs, scores = [], []
         for part in chunks(values.to_pylist()):
-            for n in count.counts(part):
-                top = count.top(n, profiles.length)
+            for gram, n in count.counts(part):
+                top = most_frequent(gram, n, profiles.length)
                 if not len(top) or not profiles.langs:
                     langs.append(UND)
                     scores.append(0.0)
