@@ -29,7 +29,9 @@ from gossamer.llm._common import text_or_empty, written
 from gossamer.llm.fingerprint import words
 
 GRID = 1 << 20
-BLOCK_ROWS, MOST_BLOCKS = 256, 4096
+BLOCK_ROWS = 256
+#: Digits of a block's place in the order that its range has: running sums are taken over 16 ** RANGE ranges, then within each.
+RANGE = 3
 SEED = "mix-1"
 MAX_REPETITION = 1.25
 
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     """
     held = docs.drop("n_tokens", "weight", "copies").withColumn("n_tokens", n_words(text_or_empty(text)))
     n = docs.count()
-    blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
+    blocks = max(1, -(-n // BLOCK_ROWS))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     block = F.pmod(_hash(F.col(doc_id), 1), F.lit(blocks))
     held = held.withColumn("__source", key).withColumn("__block", block)
@@ -98,8 +100,12 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     weight = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(float(said or 1)), F.lit(alpha)) / F.lit(z)).otherwise(F.lit(0.0))
     own = F.floor(weight * F.lit(budget) + 0.5).cast("long")
     plan = by_source.select("__source", weight.alias("__weight"), F.when(F.col("total") > 0, F.floor(own / F.col("total"))).otherwise(F.lit(1)).cast("long").alias("__epochs"), F.when(F.col("total") > 0, own % F.col("total")).otherwise(F.lit(0)).cast("long").alias("rest"))
-    before = Window.partitionBy("__source").orderBy(_block_order(F.col("__block")), "__block").rowsBetween(Window.unboundedPreceding, -1)
-    table = by_block.withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(plan, "__source").select("__source", "__block", "__weight", "__epochs", (F.col("rest") - F.col("__before")).alias("__left"))
+    # what a source has before each block in its order: before the block's range, and within the range
+    placed = by_block.withColumn("__place", _block_order(F.col("__block"))).withColumn("__range", F.substring("__place", 1, RANGE))
+    earlier = lambda keys, *order: F.coalesce(F.sum("tokens").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("__source", "__range").agg(F.sum("tokens").alias("tokens")).select("__source", "__range", earlier(["__source"], "__range").alias("__first"))
+    placed = placed.join(ranges, ["__source", "__range"]).withColumn("__before", F.col("__first") + earlier(["__source", "__range"], "__place", "__block"))
+    table = placed.join(plan, "__source").select("__source", "__block", "__weight", "__epochs", (F.col("rest") - F.col("__before")).alias("__left"))
     # the join and the window below need the same exchange
     within = Window.partitionBy("__source", "__block").orderBy("__in", doc_id, text).rowsBetween(Window.unboundedPreceding, -1)
     rows = held.join(table, ["__source", "__block"]).withColumn("__in", _hash(F.col(doc_id), 16))
@@ -119,7 +125,7 @@ def oracle_sql(docs: str = "documents") -> str:
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::BIGINT AS n_tokens, coalesce('s' || source, 'n') AS k,
     ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h1, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 16, 15))::BIGINT AS h2 FROM {docs}),
-nb AS (SELECT greatest(1, least({MOST_BLOCKS}, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS})) AS nb FROM d),
+nb AS (SELECT greatest(1, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) AS nb FROM d),
 b AS (SELECT *, h1 % nb AS blk FROM d, nb),
 g AS (SELECT k, blk, sum(n_tokens)::BIGINT AS tokens FROM b GROUP BY ALL),
 s AS (SELECT k, sum(tokens)::BIGINT AS total FROM g GROUP BY k),
