@@ -53,7 +53,7 @@ SPAN = LENGTH - GRAM + 1  # gram places in a window
 LEFT, ROW = SPAN - 1, SPAN - 1 + LENGTH
 PIECE_BYTES, BUCKET_BYTES = 6_000_000, 16_000_000
 SEGMENT = 1 << 20  # windows looked at together
-LOOKED, SAMPLES = 256, 64  # pieces whose suffixes are sampled, and how many of each
+LOOKED, SAMPLES = 64, 256  # pieces whose suffixes are sampled, and how many of each
 SMALL = 2048  # suffixes that are sorted by whole characters at once
 NO_ID = -(2**63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -469,9 +469,9 @@ def cut_texts(piece: Piece, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch
     first = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
     head = starts[:-1][(starts[:-1] < len(gone)) & (np.diff(starts) > 0)]
     first[head] |= gone[head]
-    so_far, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(first)))
+    so_far, spans = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (gone, first))
     left = [piece.data[a:b][~gone[a:b]].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-    out = {"doc_id": pa.array([None if i == NO_ID else i for i in piece.ids.tolist()], pa.int64()), "n_bytes": pa.array(np.diff(starts)), "n_removed": pa.array(np.diff(so_far[starts])), "n_spans": pa.array(np.diff(spans[starts])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left])}
+    out = {"doc_id": pa.array([None if i == NO_ID else i for i in piece.ids.tolist()], pa.int64()), "n_bytes": pa.array(np.diff(starts)), "n_removed": pa.array(np.diff(so_far[starts]).astype(np.int64)), "n_spans": pa.array(np.diff(spans[starts]).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left])}
     return pa.RecordBatch.from_pydict(out | ({"kept": pa.array(left, pa.binary())} if keep_text else {}))
 
 
