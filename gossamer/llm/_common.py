@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +77,17 @@ def fold(doc_id: str, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
-def chunks(texts: Iterable[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
+def slices(rows: pa.RecordBatch | pa.Array, most: int = 256) -> Iterator:
+    """A batch in parts of so many rows: as Python objects they take several times their room."""
+    for at in range(0, len(rows), most):
+        yield rows.slice(at, most)
+
+
+def chunks(texts: pa.Array | Iterable[str | None], most: int = 500_000) -> Iterator[list[str]]:
     """Whole texts in their order, in lists of about so many characters; null counts as empty."""
     held: list[str] = []
     size = 0
-    for t in texts:
+    for t in (t for part in slices(texts, 64) for t in part.to_pylist()) if isinstance(texts, pa.Array | pa.ChunkedArray) else texts:
         held.append(t := t or "")
         size += len(t) + 16
         if size >= most:
@@ -87,5 +97,18 @@ def chunks(texts: Iterable[str | None], most: int = 2_000_000) -> Iterator[list[
         yield held
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a worker gives the memory that it no longer needs back to the system: it lives on, idle or with another task."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, text_or_empty
+from gossamer.llm._common import chunks, session, slices, text_or_empty, tidy
 
 LONG_WORD = 4096
 #: Words that a worker remembers; beyond it, it forgets all of them and starts anew.
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            got = [x for part in chunks(batch.column(0).to_pylist()) for x in c.encode(part)]
+            got = [x for part in chunks(batch.column(0)) for x in c.encode(part)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], names=["v"])
 
     return _with(docs, text_or_empty(text), run, "array<int>", ids)
@@ -275,7 +275,7 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            runs = [np.array(x or (), np.int32) for x in batch.column(0).to_pylist()]
+            runs = [np.array(x or (), np.int32) for part in slices(batch.column(0)) for x in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c.decode(runs), pa.string())], names=["v"])
 
     return _with(docs, F.col(ids).cast("array<int>"), run, "string", text)
@@ -283,7 +283,7 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded
 
 def _with(docs: DataFrame, value, run, kind: str, name: str) -> DataFrame:
     """docs with one more column, made from value batch by batch."""
-    udf = F.arrow_udf(lambda batches: (x.column(0) for x in run(pa.RecordBatch.from_arrays([b], names=["v"]) for b in batches)), kind, F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(tidy(lambda batches: (x.column(0) for x in run(pa.RecordBatch.from_arrays([b], names=["v"]) for b in batches))), kind, F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(name, udf(value))
 
 
@@ -295,7 +295,7 @@ def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
         c = codec(path)
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(batch.column(1)):
                 got = c.codes(part)
                 flat, sizes = c.gather(got)
                 said = c.ids_text.__getitem__
@@ -310,4 +310,4 @@ def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, text_or_empty, unused, written
+from gossamer.llm._common import chunks, session, slices, text_or_empty, tidy, unused, written
 from gossamer.llm._components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -122,7 +122,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_wo
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, sk, low = [], [], []
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(batch.column(1)):
                 for x, s in zip(part, shingles(part, n_words), strict=True):
                     t.append(hashlib.sha256(x.encode()).digest()[:16])
                     v = minhash(s) if len(s) else None
@@ -130,7 +130,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_wo
                     low.append(None if v is None else v.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(sk, pa.binary()), pa.array(low, pa.binary())], names=["id", "t", "sketch", "low"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).mapInArrow(sign, "id long, t binary, sketch binary, low binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).mapInArrow(tidy(sign), "id long, t binary, sketch binary, low binary")
     return written(rows.groupBy("t").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("low").alias("low")), "classes")
 
 
@@ -148,7 +148,7 @@ def _paths(rows: DataFrame, threshold: float, roots: np.ndarray | None = None) -
                     row, key = next_paths(start, sk, threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), t.take(pa.array(row))], names=["key", "t"])
 
-    return rows.select("t", "sketch", *([] if roots is not None else ["key"])).mapInArrow(run, "key long, t binary")
+    return rows.select("t", "sketch", *([] if roots is not None else ["key"])).mapInArrow(tidy(run), "key long, t binary")
 
 
 class Forest:
@@ -179,7 +179,7 @@ def _stars(lists: DataFrame, least: float) -> DataFrame:
         forest = Forest()
         for batch in batches:
             a, b = [], []
-            for members in batch.column(0).to_pylist():
+            for members in (x for part in slices(batch.column(0), 16) for x in part.to_pylist()):
                 if len(members) < 2:
                     continue
                 t = [m["t"] for m in members]
@@ -196,7 +196,7 @@ def _stars(lists: DataFrame, least: float) -> DataFrame:
                         b.append(t[r])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a binary, b binary")
+    return lists.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def local_roots(like: np.ndarray) -> np.ndarray:
@@ -340,14 +340,14 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [s.tobytes() for part in chunks(batch.column(3).to_pylist()) for s in shingles(part, n_words)]
+            got = [s.tobytes() for part in chunks(batch.column(3)) for s in shingles(part, n_words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["t", "cluster", "n", "shingles"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("t", text_key(F.col("text")))
     own = _only(own, member, [F.col("t"), F.col("id")])
     of = member.withColumnsRenamed({"t": "__t", "id": "__id"})
     texts = own.join(of, (F.col("t") == F.col("__t")) & F.col("id").eqNullSafe(F.col("__id"))).select("t", "cluster", "n", "text")
-    found = written(texts.mapInArrow(sets, "t binary, cluster binary, n long, shingles binary").dropDuplicates(["t"]), "shingles")
+    found = written(texts.mapInArrow(tidy(sets), "t binary, cluster binary, n long, shingles binary").dropDuplicates(["t"]), "shingles")
     compared = _cells(found, threshold).groupBy("cluster", "lo", "i", "hi", "j").applyInArrow(_compare(threshold), "t binary, links long, root binary, whole boolean")
     linked = written(compared, "links")
     # a cluster that was compared in one piece has its components already

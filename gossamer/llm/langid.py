@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, unused
+from gossamer.llm._common import chunks, session, tidy, unused
 from gossamer.llm._words import Memory
 
 UND = "und"
@@ -89,7 +89,7 @@ class Counter:
     """Counts a document's grams through the word memory, which holds each word's grams."""
 
     def __init__(self):
-        self.words = Memory(grams)
+        self.words = Memory(grams, 150_000)
 
     def counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its distinct grams, ascending, and how often it has each."""
@@ -132,7 +132,7 @@ def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: s
         count = Counter()
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(batch.column(1)):
                 own: dict[str, list] = {}
                 for name, held in zip(names[at:], count.counts(part)):
                     own.setdefault(name, []).append(held)
@@ -141,7 +141,7 @@ def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: s
                     gram, n = summed(np.concatenate([g for g, _ in held]), np.concatenate([k for _, k in held]))
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n.astype(np.int64), pa.int64())], names=["lang", "gram", "n"])
 
-    n = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = sample.select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = [F.desc("n"), F.asc("gram")]
     for keys in (["lang", F.pmod(F.col("gram"), F.lit(64))], ["lang"]):  # first within salts, as one language may have most of the rows
         n = n.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= length)
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", pred: st
 
     def judge(values: pa.Array, count: Counter) -> pa.Array:
         langs, scores = [], []
-        for part in chunks(values.to_pylist()):
+        for part in chunks(values):
             for gram, n in count.counts(part):
                 top = most_frequent(gram, n, profiles.length)
                 if not len(top) or not profiles.langs:
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", pred: st
         for values in batches:
             yield judge(values, count)
 
-    said = F.arrow_udf(run, "l string, s double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string"))
+    said = F.arrow_udf(tidy(run), "l string, s double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string"))
     (hidden,) = unused(docs, "said")
     out = docs.withColumn(hidden, said)
     return out.withColumn(pred, F.col(f"{hidden}.l")).withColumn(score, F.col(f"{hidden}.s")).drop(hidden)

@@ -285,7 +285,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             out: list[tuple] = []
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(batch.column(1)):
                 for t in part:
                     split = words(t)
                     some = set(split)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import session, unused, written
+from gossamer.llm._common import session, slices, tidy, unused, written
 
 GRAM, WINDOW = 2, 2
 RUN = WINDOW + GRAM - 1
@@ -63,9 +63,9 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     run = window + gram - 1
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch)):
             out: dict[str, list] = {k: [] for k in ("__id", "__text", "h", "at", "run", "start")}
-            for i, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, key, t in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 lines = t.split("\n")
                 p, h, first, last = fingerprints(lines, gram, window)
                 for place, own, a, b in zip(p.tolist(), h, first.tolist(), last.tolist(), strict=True):
@@ -81,7 +81,7 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     rows = docs.where(F.col(text).isNotNull()).select(*_key(F.col(doc_id), F.col(text)), F.col(text).cast("string").alias("text"))
     # no run fits into fewer lines; split stops at so many
-    marks = written(rows.where(F.size(F.split("text", "\n", run)) >= run).mapInArrow(winnow, "__id long, __text binary, h binary, at int, run array<binary>, start int"), "fingerprints")
+    marks = written(rows.where(F.size(F.split("text", "\n", run)) >= run).mapInArrow(tidy(winnow), "__id long, __text binary, h binary, at int, run array<binary>, start int"), "fingerprints")
     # what is joined to a key that many rows may have is written first: then Spark can split that key's rows
     again = written(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("i"), F.col("__text").alias("t"), F.col("p"))

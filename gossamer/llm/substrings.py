@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import partitions, session, text_or_empty, written
+from gossamer.llm._common import partitions, session, slices, text_or_empty, tidy, written
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # gram places in a window
@@ -279,8 +279,8 @@ def pieces(rows: Iterator[pa.RecordBatch], piece_bytes: int) -> Iterator[pa.Reco
         held = np.diff(p, prepend=0).astype(np.uint32).tobytes() + near.astype(np.uint8).tobytes() + far.astype(np.uint8).tobytes()
         return pa.RecordBatch.from_pydict({"size": [len(data)], "ids": [pack(np.array(ids, np.int64).tobytes())], "ends": [pack(ends.tobytes())], "data": [pack(data.tobytes())], "anchors": [pack(held)]})
 
-    for batch in rows:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for part in (x for batch in rows for x in slices(batch)):
+        for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             ids.append(NO_ID if i is None else i)
             texts.append((t or "").encode())
             size += len(texts[-1])
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes as kept (binary)."""
     spark = session(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    held = written(rows.mapInArrow(lambda x: pieces(x, piece_bytes), PIECE).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    held = written(rows.mapInArrow(tidy(lambda x: pieces(x, piece_bytes)), PIECE).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     n, size = held.agg(F.count("*"), F.sum("size")).first()
     least = min(n or 1, partitions(spark))
     hashed = max(1, -(-(size or 0) // bucket_bytes), least)
@@ -387,7 +387,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         out[order] = np.repeat(hit, n)
         return pa.table({"bucket": table["bucket"], "piece": table["piece"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])], pa.binary())})
 
-    asked = held.select(*HELD).mapInArrow(ask_grams, "bucket int, piece long, grams binary, many binary")
+    asked = held.select(*HELD).mapInArrow(tidy(ask_grams), "bucket int, piece long, grams binary, many binary")
     bits = written(asked.groupBy("bucket").applyInArrow(answer_grams, "bucket int, piece long, bits binary").groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "shared-grams")
     known = held.select(*HELD).join(bits, "piece", "left")
 
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(suffixes)], pa.int64()), "sample": pa.array([some.tobytes()], pa.binary())})
 
     some = known.where(F.pmod(F.xxhash64("piece"), F.lit(-(-(n or 1) // LOOKED))) == 0)
-    splitters, cut = splitters_of(some.mapInArrow(look, "n long, sample binary").collect(), n or 1, bucket_bytes, least)
+    splitters, cut = splitters_of(some.mapInArrow(tidy(look), "n long, sample binary").collect(), n or 1, bucket_bytes, least)
     buckets = (len(splitters) + 1) * cut
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             cuts = [pack(x.tobytes()) for x in np.split(got, np.cumsum(sizes)[:-1])]
         return pa.table({"bucket": table["bucket"], "piece": table["piece"], "masks": pa.array(cuts, pa.binary())})
 
-    windows = known.mapInArrow(ask_windows, "bucket int, piece long, entries binary")
+    windows = known.mapInArrow(tidy(ask_windows), "bucket int, piece long, entries binary")
     masks = written(windows.groupBy("bucket").applyInArrow(answer_windows, "bucket int, piece long, masks binary").groupBy("piece").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "repeats")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +454,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             gone = covered(len(piece.data), np.concatenate([p[(own >> np.uint64(k)) & np.uint64(1) == 1] - k for k in range(SPAN)]))
             yield cut_texts(piece, gone, keep_text)
 
-    return known.join(masks, "piece", "left").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return known.join(masks, "piece", "left").mapInArrow(tidy(removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

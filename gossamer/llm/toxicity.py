@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm._common import chunks, session, text_or_empty, written
+from gossamer.llm._common import chunks, session, text_or_empty, tidy, written
 from gossamer.llm._words import Memory
 
 BUCKETS = 1 << 16
@@ -195,6 +195,6 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = Memory(model.word_logits)
         for values in batches:
-            yield pa.array([s for part in chunks(values.to_pylist()) for s in model.scores(part, memory)], pa.float64())
+            yield pa.array([s for part in chunks(values) for s in model.scores(part, memory)], pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string")))
+    return docs.withColumn(name, F.arrow_udf(tidy(run), "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string")))
