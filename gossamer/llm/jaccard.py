@@ -9,8 +9,10 @@ similarity of their sets is at least the threshold.
    starts at the root; at each step it goes on with every token that a hash of
    path and token picks, with chance 1 / (threshold x SKETCH), so a pair at the
    threshold is expected to share one path on every level. Classes on the same path
-   are a bucket. Buckets of more than LEAF classes are split again on further
-   tokens; smaller ones are compared by brute force on the tokens' low bytes.
+   are a bucket. Buckets of at most LEAF classes are compared by brute force on
+   the tokens' low bytes. Larger ones are compared with two of their classes;
+   where that connects a whole bucket, directly or through others, step 4 sees
+   all its pairs and it is done. The others are split again on further tokens.
    Runs repeat until a pair at the threshold is missed by all with a chance
    below 1 - recall, even if all its buckets are so large that it must share a
    path down to DEPTH. What is still too large at DEPTH is compared in blocks,
@@ -239,16 +241,52 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
         large = live.where(F.col("n") > LEAF)
         if not large.head(1):
             break
+        members = written(large.join(held.select("t", "low"), "t"), f"large-{depth}")
         if depth == DEPTH:
-            cut = _grid(large.join(held.select("t", "low"), "t"), "key", F.col("n"), BLOCK)
-            blocks = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("part", "t", "low")).alias("members"))
+            blocks = _grid(members, "key", F.col("n"), BLOCK).groupBy("key", "i", "j").agg(F.collect_list(F.struct("part", "t", "low")).alias("members"))
             edges.append(_stars(blocks.select("members"), least))
-        else:
-            rows = _paths(large.select("key", "t").join(held.select("t", "sketch"), "t").select("t", "sketch", "key"), threshold)
-    found = edges[0]
-    for x in edges[1:]:
-        found = found.unionByName(x)
-    return written(components(found), "clusters")
+            break
+        own = F.struct("t", "low")
+        ends = written(members.groupBy("key").agg(F.min(own).alias("first"), F.max(own).alias("last")), f"ends-{depth}")
+        edges.append(written(_near_ends(members.join(ends, "key").select("t", "low", "first", "last"), least), f"near-{depth}"))
+        known = components(_union(edges))
+        edges = [known.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        root = F.coalesce("root", "t")
+        told = members.drop("low").join(known.withColumnRenamed("node", "t"), "t", "left")
+        parted = written(told.groupBy("key").agg(F.min(root).alias("x"), F.max(root).alias("y")).where("x != y").select("key"), f"parted-{depth}")
+        large = written(members.select("key", "t").join(parted, "key"), f"open-{depth}")
+        if not large.head(1):
+            break
+        rows = _paths(large.join(held.select("t", "sketch"), "t").select("t", "sketch", "key"), threshold)
+    return written(components(_union(edges)), "clusters")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _near_ends(rows: DataFrame, least: float) -> DataFrame:
+    """Edges a, b from rows of t, low and two others, first and last, that t is like; each component of a task by a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for part in (x for batch in batches for x in slices(batch, 1024)):
+            own, a, b = part.to_pylist(), [], []
+            sketch = lambda lows: np.frombuffer(b"".join(lows), np.uint8).reshape(-1, SKETCH)
+            low = sketch(r["low"] for r in own)
+            for end in ("first", "last"):
+                like = ((low == sketch(r[end]["low"] for r in own)).mean(axis=1) - 1 / 256) / (255 / 256) >= least
+                for i in np.flatnonzero(like).tolist():
+                    x, y = own[i]["t"], own[i][end]["t"]
+                    if x != y and forest.join(x, y):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _cells(rows: DataFrame, threshold: float) -> DataFrame:
