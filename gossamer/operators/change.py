@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import html as H
+from gossamer.functions import robust
 
 KINDS = ("new", "not_modified", "unchanged", "representation_changed", "semantic_changed")
 
@@ -45,19 +46,35 @@ def raw_fingerprint(body: Column) -> Column:
 
 
 def semantic_fingerprint(title: Column, links: Column, canonical_url: Column, json_ld: Column, malformed: Column, open_graph: Column) -> Column:
-    """SHA-256 of the canonical JSON of what a page says: sorted distinct links, structured evidence, title."""
-    structured = F.struct(canonical_url.alias("canonical_url"), json_ld.alias("json_ld"), malformed.alias("malformed_json_ld"), F.map_from_entries(F.sort_array(F.map_entries(open_graph))).alias("open_graph"))
+    """SHA-256 of the canonical JSON of what a page says: sorted distinct links, structured evidence, title.
+
+    json_ld: the canonical texts of the valid payloads; they enter the JSON as they are.
+    """
+    structured = F.struct(canonical_url.alias("canonical_url"), F.array().cast("array<string>").alias("json_ld"), malformed.alias("malformed_json_ld"), F.map_from_entries(F.sort_array(F.map_entries(open_graph))).alias("open_graph"))
     said = F.struct(F.sort_array(F.array_distinct(links)).alias("links"), structured.alias("structured"), title.alias("title"))
-    return F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256)
+    # within a JSON text this stands once: quotes in strings are escaped, and OpenGraph keys begin with og:
+    place = '"json_ld":['
+    whole = F.replace(F.to_json(said, {"ignoreNullFields": "false"}), F.lit(f"{place}]"), F.concat(F.lit(place), F.array_join(json_ld, ","), F.lit("]")))
+    return F.sha2(whole, 256)
 
 
 def with_evidence(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Adds evidence, content_sha256 and semantic_sha256; all null where html is."""
+    """Adds evidence, content_sha256 and semantic_sha256; all null where html is.
+
+    JSON-LD counts by what it says: the order of keys and blanks don't matter,
+    and of malformed scripts only how many there are. Only pages that have any
+    send it to Python.
+    """
     e = F.when(F.col(html).isNotNull(), H.evidence(F.col(html), F.col(url)))
-    out = pages.withColumn("evidence", e)
     x = F.col("evidence")
-    semantic = semantic_fingerprint(x["title"], x["links"], x["canonical_url"], x["json_ld"], x["malformed_json_ld"], x["open_graph"])
-    return out.withColumn("content_sha256", raw_fingerprint(F.col(html))).withColumn("semantic_sha256", F.when(F.col(html).isNotNull(), semantic))
+    out = pages.withColumn("evidence", e)
+    hidden = "payloads"
+    while hidden in out.columns:
+        hidden = f"_{hidden}"
+    out = out.withColumn(hidden, F.coalesce(robust.canonical_payloads(F.when(F.size(x["json_ld"]) > 0, x["json_ld"])), F.array().cast("array<string>")))
+    malformed = (F.size(x["json_ld"]) - F.size(hidden)).cast("long")
+    semantic = semantic_fingerprint(x["title"], x["links"], x["canonical_url"], F.col(hidden), malformed, x["open_graph"])
+    return out.withColumn("content_sha256", raw_fingerprint(F.col(html))).withColumn("semantic_sha256", F.when(F.col(html).isNotNull(), semantic)).drop(hidden)
 
 
 def change_kind(status: Column, prev_raw: Column, prev_semantic: Column, raw: Column, semantic: Column) -> Column:

@@ -53,6 +53,19 @@ def add(frontier: DataFrame, requests: DataFrame, *order: Column) -> DataFrame:
     )
 
 
+def missing_queues(requests: DataFrame, queues: DataFrame) -> DataFrame:
+    """The queue rows that inserting requests (or leasing them) makes: one request at a time, no delay, no limit, nothing issued."""
+    new = requests.select(*QUEUE).distinct().join(queues.select(*QUEUE), QUEUE, "left_anti")
+    fresh = {"max_concurrency": F.lit(1), "delay_seconds": F.lit(0.0), "blocked_until": F.lit(0.0), "crawl_limit": F.lit(None), "active": F.lit(0), "issued": F.lit(0), "next_allowed_at": F.lit(0.0)}
+    return new.select(*[fresh[c].cast(t).alias(c) if c in fresh else F.col(c) for c, t in queues.dtypes])
+
+
+def missing_crawls(requests: DataFrame, crawls: DataFrame) -> DataFrame:
+    """The crawl rows that inserting requests makes: no limit, nothing issued."""
+    new = requests.select("crawl_id").distinct().join(crawls.select("crawl_id"), "crawl_id", "left_anti")
+    return new.select(*[F.col(c) if c == "crawl_id" else F.lit(0 if c == "issued" else None).cast(t).alias(c) for c, t in crawls.dtypes])
+
+
 def expired(now: float) -> Column:
     return (F.col("state") == "leased") & (F.col("lease_expires_at") <= now)
 
@@ -100,7 +113,9 @@ def lease(frontier: DataFrame, queues: DataFrame, crawls: DataFrame, *, limit: i
 
 
 def apply_leases(frontier: DataFrame, queues: DataFrame, crawls: DataFrame, leases: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables after leases were given (and expired ones reclaimed)."""
+    """The three tables after leases were given (and expired ones reclaimed); queues and crawls that had no row have one."""
+    queues = queues.unionByName(missing_queues(leases, queues))
+    crawls = crawls.unionByName(missing_crawls(leases, crawls))
     frontier, queues = reclaim(frontier, queues, now)
     new = leases.select(*KEY, F.col("attempt").alias("__attempt"), F.col("lease_token").alias("__token"), F.col("lease_expires_at").alias("__until"))
     hit = F.col("__token").isNotNull()

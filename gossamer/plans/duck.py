@@ -54,9 +54,9 @@ def json_list(items: str) -> str:
     return f"'[' || array_to_string(list_transform({items}, lambda x: to_json(x)::VARCHAR), ',') || ']'"
 
 
-def semantic(title: str, links: str) -> str:
-    """For pages without other structured evidence."""
-    return f"""sha256('{{"links":' || {json_list(f'list_sort(list_distinct({links}))')} || ',"structured":{{"canonical_url":null,"json_ld":[],"malformed_json_ld":0,"open_graph":{{}}}},"title":' || coalesce(to_json({title})::VARCHAR, 'null') || '}}')"""
+def semantic(title: str, links: str, json_ld: str = "''", malformed: str = "0") -> str:
+    """For pages without other structured evidence than JSON-LD, whose canonical payloads are given as text."""
+    return f"""sha256('{{"links":' || {json_list(f'list_sort(list_distinct({links}))')} || ',"structured":{{"canonical_url":null,"json_ld":[' || {json_ld} || '],"malformed_json_ld":' || {malformed} || ',"open_graph":{{}}}},"title":' || coalesce(to_json({title})::VARCHAR, 'null') || '}}')"""
 
 
 KIND = "CASE WHEN status = 304 AND prev_raw IS NULL THEN 'error' WHEN status = 304 THEN 'not_modified' WHEN prev_raw IS NULL THEN 'new' WHEN sem IS DISTINCT FROM prev_sem THEN 'semantic_changed' WHEN raw IS DISTINCT FROM prev_raw THEN 'representation_changed' ELSE 'unchanged' END"

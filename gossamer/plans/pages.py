@@ -168,6 +168,15 @@ def semantic_fingerprint(spark, sf_dir):
     return change.with_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "semantic_sha256")
 
 
+_PAYLOADS = """CASE WHEN page_id % 5 < 3 THEN '{"a":"x' || page_id || '","b":[1,true,null]}' WHEN page_id % 5 = 3 THEN '[{"@id":7,"@type":"Thing"}],"plain"' ELSE '' END"""
+
+
+@query(f"""WITH {duck.links('pages', 'page_id', 'html', 'url', 'lk')} SELECT page_id, {duck.semantic(duck.title('html'), 'links', _PAYLOADS, "CASE WHEN page_id % 5 = 2 THEN '1' ELSE '0' END")} AS semantic_sha256 FROM pages JOIN lk USING (page_id)""")
+def semantic_fingerprint_json_ld(spark, sf_dir):
+    """Pages with valid, reordered and malformed JSON-LD: what it says counts, not how it is written."""
+    return change.with_evidence(relation(spark, sf_dir, "linked")).select("page_id", "semantic_sha256")
+
+
 def _classified(spark, sf_dir):
     return change.classify(change.with_evidence(relation(spark, sf_dir, "log")), ["page_id"])
 

@@ -58,6 +58,11 @@ SELECT page_id, url, replace(html, '</head>',
   CASE WHEN page_id % 4 < 2 THEN '<meta property="og:title" content=" T' || CAST(page_id AS STRING) || ' "><meta property="OG:image" content="/a.png"><meta property="og:image" content="/b.png"><meta property="og:empty" content=" "><meta property="article:tag" content="x">' ELSE '' END ||
   CASE page_id % 5 WHEN 0 THEN '<link rel="stylesheet" href="/x.css"><link rel="alternate Canonical" href="/c/' || CAST(page_id AS STRING) || '#top"><link rel="canonical" href="/late">' WHEN 1 THEN '<link rel="canonical" href="ftp://x.example/">' ELSE '' END ||
   CASE WHEN page_id % 6 = 0 THEN '<noscript>Please <b>Enable JavaScript</b></noscript><script src="/1.js"></script><script src="/2.js"></script>' ELSE '' END || '</head>') || CASE WHEN page_id % 6 < 2 THEN '<div id="root"></div>' ELSE '' END AS html FROM pages""",
+        "linked": """
+SELECT page_id, url, replace(html, '</head>', CASE page_id % 5 WHEN 0 THEN '<script type="application/ld+json">{"b": [1, true, null], "a": "x' || CAST(page_id AS STRING) || '"}</script>'
+  WHEN 1 THEN '<script type="application/ld+json">' || chr(10) || '{"a":"x' || CAST(page_id AS STRING) || '","b":[1,true,null]}' || chr(10) || '</script>'
+  WHEN 2 THEN '<script type="application/ld+json">{"b": [1, true, null], "a": "x' || CAST(page_id AS STRING) || '"}</script><script type="application/ld+json">{"broken' || CAST(page_id AS STRING) || '</script>'
+  WHEN 3 THEN '<script type="application/ld+json">[{"@type": "Thing", "@id": 7}]</script><script type="application/ld+json">"plain"</script>' ELSE '' END || '</head>') AS html FROM pages""",
         "shells": """
 SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '<html><body><div id="root"></div><noscript>You need to enable JavaScript to run this app.</noscript><script src="1"></script><script src="2"></script><script src="3"></script></body></html>'
   WHEN 1 THEN '<html><body><h1>Head ' || CAST(page_id AS STRING) || '</h1><p>' || repeat('word ', CAST(page_id % 90 AS INT)) || '</p><script>x</script></body></html>'

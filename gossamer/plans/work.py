@@ -101,6 +101,14 @@ def frontier_add(spark, sf_dir):
     return frontier.add(f, spark.sql(_NEW), c("n")).select("crawl_id", "url", "priority", "state", "attempt", "sequence")
 
 
+@query(f"""{rel('queues')}, r AS ({_NEW}), k AS (SELECT * FROM queues WHERE queue_key <> 'h4' AND crawl_id <> 'c3')
+SELECT DISTINCT crawl_id, queue_key, 1 AS max_concurrency, 0e0 AS delay_seconds, 0::BIGINT AS active, 0::BIGINT AS issued FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.crawl_id = r.crawl_id AND k.queue_key = r.queue_key)""")
+def frontier_add_queues(spark, sf_dir):
+    """The queue rows that inserts make where some queues have none."""
+    q = relation(spark, sf_dir, "queues").where("queue_key <> 'h4' AND crawl_id <> 'c3'")
+    return frontier.missing_queues(spark.sql(_NEW), q).select("crawl_id", "queue_key", "max_concurrency", "delay_seconds", "active", "issued")
+
+
 @query(f"""{rel('frontier')}, u AS (SELECT crawl_id, url, priority, 0 AS src, sequence AS n FROM frontier WHERE sequence % 5 = 0 UNION ALL SELECT crawl_id, url, CAST(-10 AS BIGINT), 1, sequence FROM frontier WHERE sequence % 3 = 0 UNION ALL SELECT crawl_id, url, CAST(0 AS BIGINT), 2, sequence FROM frontier WHERE sequence % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, url ORDER BY src, n) AS k FROM u) SELECT crawl_id, url, priority, src::INT AS source_rank FROM r WHERE k = 1""")
 def frontier_union(spark, sf_dir):

@@ -91,3 +91,14 @@ def test_add_keeps_the_first_and_ignores_known_urls(spark):
     added = frontier.add(f, new, F.col("n"))
     assert [(r["url"], r["priority"], r["sequence"]) for r in added.collect()] == [("b", 10, 1)]
     assert [r["url"] for r in frontier.lease(f.unionByName(added), q, w, limit=5, lease_seconds=5.0, now=1.0).orderBy("pos").collect()] == ["b", "a"]
+
+
+def test_a_host_without_a_queue_row_is_leased_once(spark):
+    new = spark.createDataFrame([("c", f"http://h/{k}", "h", 0, 0, 0.0, None, "queued", 0, None, 0.0, None, k) for k in range(3)], ROW)
+    queues, crawls = spark.createDataFrame([], QUEUE), spark.createDataFrame([], "crawl_id string, crawl_limit long, issued long")
+    first = frontier.lease(new, queues, crawls, limit=10, lease_seconds=60.0, now=100.0)
+    assert [r["url"] for r in first.collect()] == ["http://h/0"]
+    f, q, c = frontier.apply_leases(new, queues, crawls, first, 100.0)
+    assert [(r["active"], r["issued"], r["max_concurrency"]) for r in q.collect()] == [(1, 1, 1)] and [r["issued"] for r in c.collect()] == [1]
+    assert frontier.lease(f, q, c, limit=10, lease_seconds=60.0, now=101.0).count() == 0
+    assert frontier.missing_queues(new, queues).count() == 1 and frontier.missing_crawls(new, crawls).count() == 1

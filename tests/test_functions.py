@@ -37,7 +37,7 @@ URLS = st.builds(
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(URLS, min_size=30, max_size=60))
-def test_canonical_url_is_what_the_standard_library_says(spark, values):
+def test_canonical_url_of_columns_and_of_texts_agree(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "u string")
     for u, got in df.select("u", urls.canonical(F.col("u"))).collect():
         assert got == robust.canonical_url(u), u
@@ -48,6 +48,17 @@ def test_robust_urls(spark):
     assert one(spark, robust.canonical_any(F.lit("http://Bücher.example/"))) == "http://xn--bcher-kva.example/"
 
 
+def test_references_against_a_base():
+    for ref, want in {"": "http://a/b/c/d;p?q", "g": "http://a/b/c/g", "./g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g/", "?y": "http://a/b/c/d;p?y", "#s": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "..": "http://a/b/", "../../../g": "http://a/g", "g/../h?x=/../y": "http://a/b/c/h?x=/../y", "/./g": "http://a/g", "HTTP://B:80/x/../y": "http://b/x/../y", "mailto:x": None, "http://u@h/": None, "http://[::1": None}.items():
+        assert robust.canonical_url(ref, "http://a/b/c/d;p?q#f") == want, ref
+    assert robust.canonical_url("g", "nothing") is None and robust.canonical_url("http://faß.ÉXAMPLE。com./") == "http://fass.xn--xample-9ua.com/"
+
+
+def test_public_ipv6():
+    for address, want in {"2606:4700::1111": True, "[2606:4700::1111]": True, "::1": False, "::": False, "fe80::1%eth0": False, "fd00::1": False, "2001:db8::1": False, "2001:4:112::7": True, "2001:4::7": False, "::ffff:10.0.0.1": False, "::ffff:8.8.8.8": True, "2002:808:808::": False, "x": None, "1.2.3": None}.items():
+        assert robust.public_ipv6(address) is want, address
+
+
 def test_headers(spark):
     h = F.create_map(F.lit("ETag"), F.lit(' "v1" '), F.lit("LAST-MODIFIED"), F.lit("Mon"))
     assert tuple(one(spark, urls.validators(h))) == ('"v1"', "Mon")
