@@ -44,17 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them again.
 
     Executors may be lost later without anything being computed anew, and
     whatever was random in the plan stays as it was written. Partitions beyond
     FILES_PER_CORE for each core share a task and a file, one after the other:
-    they would wait for a core anyway, and a loop would leave very many small files.
+    they would wait for a core anyway, and a loop would leave very many small
+    files. gather=False keeps them apart, where a task makes many rows of few.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gossamer/{name}-{uuid.uuid4().hex}"
-    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    rows = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism) if gather else df
+    rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -227,7 +227,7 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
     rows = _paths(has, threshold, roots=np.arange(1, runs_needed(recall, DEPTH) + 1, dtype=np.uint64))
     edges = []
     for depth in range(1, DEPTH + 1):
-        rows = written(rows, f"paths-{depth}")
+        rows = written(rows, f"paths-{depth}", gather=depth == 1)
         # written before it is joined, so that Spark can split the rows of a large bucket
         size = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{depth}")
         live = written(rows.join(size, "key"), f"live-{depth}")
