@@ -135,20 +135,23 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_wo
 
 
 def _paths(rows: DataFrame, threshold: float, roots: np.ndarray | None = None) -> DataFrame:
-    """key, t for rows of t, sketch and, unless they start at the roots, key."""
+    """key, t for rows of t, sketch and, unless they start at the roots, keys: all paths that t is on and that go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                t = part.column(0)
-                sk = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
-                starts = [np.full(len(sk), r, np.uint64) for r in roots] if roots is not None else [part.column(2).to_numpy().view(np.uint64)]
-                for start in starts:
-                    row, key = next_paths(start, sk, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), t.take(pa.array(row))], names=["key", "t"])
-
-    return rows.select("t", "sketch", *([] if roots is not None else ["key"])).mapInArrow(tidy(run), "key long, t binary")
+        for part in (x for batch in batches for x in slices(batch)):
+            t = part.column(0)
+            sk = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
+            every = np.arange(len(sk))
+            if roots is not None:
+                starts = [(every, np.full(len(sk), r, np.uint64)) for r in roots]
+            else:
+                held = part.column(2)
+                starts = [(np.repeat(every, held.value_lengths().to_numpy()), held.flatten().to_numpy().view(np.uint64))]
+            for of, start in starts:
+                row, key = next_paths(start, sk[of], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), t.take(pa.array(of[row]))], names=["key", "t"])
+
+    return rows.select("t", "sketch", *([] if roots is not None else ["keys"])).mapInArrow(tidy(run), "key long, t binary")
 
 
 class Forest:
@@ -244,7 +247,9 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
             blocks = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("part", "t", "low")).alias("members"))
             edges.append(_stars(blocks.select("members"), least))
         else:
-            rows = _paths(large.select("key", "t").join(held.select("t", "sketch"), "t").select("t", "sketch", "key"), threshold)
+            # a class's sketch is moved once, not once for each of its paths, of which a run has few
+            on = large.groupBy("t").agg(F.collect_list("key").alias("keys"))
+            rows = _paths(on.join(held.select("t", "sketch"), "t"), threshold)
     found = edges[0]
     for x in edges[1:]:
         found = found.unionByName(x)
