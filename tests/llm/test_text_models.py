@@ -202,3 +202,33 @@ def test_common_licenses_are_found(spark):
         if name.endswith(("-header", "-text")) or name.startswith("CC"):
             own = name.removesuffix("-header").removesuffix("-text")
             assert all(x.startswith(own) for x in got if x.startswith(told)), (text, got)
+
+
+def test_scores_equal_a_plain_version():
+    """The mean over distinct words of the means over their n-grams, one by one."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -0.4)
+    mask = 2**64 - 1
+
+    def buckets(word):
+        import pandas as pd
+
+        bare = word.strip(toxicity._ENDS)
+        if not bare:
+            return []
+        marked, out = f"<{bare}>".encode(), []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for b in marked[i : i + n]:
+                    h = ((h ^ b) * int(toxicity._MIX)) & mask
+                    h ^= h >> 29
+                out.append(h >> 48)
+        return [*out, int(pd.util.hash_array(np.array([bare], object), categorize=False)[0]) >> 48]
+
+    texts = ["You stupid, STUPID fool!", "", "a b a", "!!", "größe x " * 50]
+    want = []
+    for t in texts:
+        means = [np.mean([model.bucket[b] for b in own]) for w in set(t.lower().split()) if (own := buckets(w))]
+        want.append(1 / (1 + np.exp(-(np.mean(means) if means else 0.0) - model.bias)))
+    assert np.allclose(model.scores(texts, Memory(model.word_logits)), want, rtol=1e-9)
