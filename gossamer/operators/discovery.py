@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,27 +78,32 @@ def feed(body: Column, source_url: Column) -> Column:
     return F.struct(kind.alias("kind"), found.alias("urls"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop's table: a checkpoint file that all executors share."""
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a loop's table: a checkpoint file below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, on one machine (tests) in a folder of our own; on a cluster it is an error.
+    A table that grows by unions would have more partitions each time around: so many as a shuffle has, or the cores, stay.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gossamer-')}/{uuid.uuid4().hex}")
-    return df.checkpoint()
+        said = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not said and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(said or f"file://{tempfile.mkdtemp(prefix='gossamer-')}")
+    return df.coalesce(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))).checkpoint()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """node, depth of what seeds (node) lead to over edges (parent, child), each at its least depth; cycles are fine."""
-    seen = _kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = _kept(new.withColumn("depth", F.lit(depth)))
+        front = kept(new.withColumn("depth", F.lit(depth)))
         if not front.head(1):
             break
-        seen = _kept(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))
     return seen
 
 
@@ -109,7 +115,7 @@ def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int,
     max_documents even if it fails; a url is found once per site.
     """
     key = ["site", "url"]
-    level = _kept(roots.select("site", "url", F.row_number().over(Window.partitionBy("site").orderBy("pos", "url")).alias("pos")).withColumn("depth", F.lit(0)))
+    level = kept(roots.select("site", "url", F.row_number().over(Window.partitionBy("site").orderBy("pos", "url")).alias("pos")).withColumn("depth", F.lit(0)))
     seen = None
     parts = None
     for depth in range(max_depth + 1):
@@ -120,16 +126,16 @@ def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int,
         else:
             first = first.withColumn("used", F.lit(0))
         order = F.row_number().over(Window.partitionBy("site").orderBy("pos"))
-        first = _kept(first.withColumn("rank", order + F.coalesce("used", F.lit(0))).where(F.col("rank") <= max_documents).select("site", "url", "depth", "rank"))
+        first = kept(first.withColumn("rank", order + F.coalesce("used", F.lit(0))).where(F.col("rank") <= max_documents).select("site", "url", "depth", "rank"))
         if not first.head(1):
             break
-        seen = first if seen is None else _kept(seen.unionByName(first))
+        seen = first if seen is None else kept(seen.unionByName(first))
         got = first.join(documents.where("status between 200 and 299 and kind is not null"), "url").select("site", F.col("url").alias("source_url"), "depth", "rank", "kind", F.posexplode("urls").alias("k", "url"))
-        got = _kept(got)
+        got = kept(got)
         found = got.where("kind <> 'sitemapindex'").select("site", "url", "source_url", F.col("kind").alias("via"), "depth", "rank", "k")
         parts = found if parts is None else parts.unionByName(found)
         nested = got.where("kind = 'sitemapindex'").select("site", "url", F.row_number().over(Window.partitionBy("site").orderBy("rank", "k")).alias("pos"))
-        level = _kept(nested.withColumn("depth", F.lit(depth + 1)))
+        level = kept(nested.withColumn("depth", F.lit(depth + 1)))
     first = parts.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("rank", "k"))).where("__r = 1").drop("__r")
     pos = F.row_number().over(Window.partitionBy("site").orderBy("rank", "k"))
     return first.withColumn("pos", pos.cast("long")).where(F.col("pos") <= max_urls).select("site", "url", "source_url", "via", "depth", "pos")
@@ -144,7 +150,7 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, *, max_redirects: int =
     done = None
     moves = hops.where("location is not null").select(F.col("url").alias("__from"), F.col("location").alias("__to"))
     for k in range(max_redirects + 1):
-        j = _kept(at.join(moves, at["url"] == moves["__from"], "left"))
+        j = kept(at.join(moves, at["url"] == moves["__from"], "left"))
         ended = j.where("__to is null" if k < max_redirects else "true")
         status = F.when(F.col("__to").isNull(), "ok").otherwise("too_many")
         part = ended.select("start", F.col("url").alias("final_url"), "hops", "same_origin", status.alias("status"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gossamer.plans import pages, work
+from gossamer.plans import crawls, pages, work
 
-_PARTS = (pages, work)
+_PARTS = (pages, work, crawls)
 
 
 def queries() -> dict:

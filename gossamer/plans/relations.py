@@ -96,6 +96,15 @@ SELECT event_id, 'u' || CAST(user_id AS STRING) AS context_key, CASE event_type
 SELECT event_id, 'c' || CAST(user_id AS STRING) AS crawl_id, CASE event_type WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN CASE WHEN event_id % 40 = 0 THEN 'cancel' ELSE 'pause' END ELSE 'resume' END AS command, event_id % 3 = 0 AS complete FROM events""",
         "snapshot": """
 SELECT page_id, url AS requested_url, CASE WHEN page_id % 6 = 0 THEN url || '/final' ELSE url END AS url, CASE WHEN page_id % 10 = 9 THEN 503 ELSE 200 END AS status_code, html AS body, page_id % 9 = 0 AS lying FROM pages""",
+        "web": """
+SELECT 'w' || s AS crawl_id, k, 'https://w' || s || '.example/p/' || CAST(k AS STRING) AS requested_url, 'https://w' || s || '.example/' || CASE WHEN k % 4 = 3 THEN 'q/' ELSE 'p/' END || CAST(k AS STRING) AS url, CAST(CASE WHEN k % 7 = 5 THEN 503 ELSE 200 END AS INT) AS status_code,
+  '<html><head><title>Page ' || CAST(k AS STRING) || '</title></head><body><a href="/p/' || CAST(2 * k + 1 AS STRING) || '">left</a><a href="//w' || s || '.example/p/' || CAST(2 * k + 2 AS STRING) || '#x">right</a><a href="mailto:x">m</a><a href="https://elsewhere.example/">out</a><a href="/p/0">root</a><a href="/p/' || CAST(2 * k + 1 AS STRING) || '">again</a></body></html>' AS body
+FROM (SELECT CAST(page_id % 6 AS STRING) AS s, CAST((page_id - page_id % 6) / 6 AS BIGINT) AS k FROM pages) AS x WHERE k % 11 <> 10""",
+        "watched": """
+SELECT 'c' || CAST(page_id % 8 AS STRING) AS crawl_id, url || '?' || CAST(page_id AS STRING) AS request_url, page_id, html AS old_html, CASE WHEN page_id % 3 = 0 THEN 'e' || CAST(page_id AS STRING) END AS etag,
+  CASE WHEN page_id % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE 8.9e8 + page_id * 7919 % 20000000 END AS next_fetch_at, 8e8 + page_id * 31 % 1000 AS last_seen_at, CASE WHEN page_id % 7 = 0 THEN CAST(NULL AS DOUBLE) ELSE 600e0 * (page_id % 9) END AS recrawl_interval_seconds,
+  CASE WHEN page_id % 10 = 9 THEN 503 WHEN page_id % 10 = 8 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 2 = 0 THEN 'e' || CAST(page_id AS STRING) ELSE 'f' END AS new_etag, page_id % 17 = 16 AS lost,
+  CASE page_id % 4 WHEN 1 THEN html || '<!-- new -->' WHEN 2 THEN replace(html, '<title>', '<title>New ') WHEN 3 THEN html || '<a href="/fresh/' || CAST(page_id AS STRING) || '">fresh</a>' ELSE html END AS html FROM pages""",
         "records": """
 SELECT page_id AS pos, CASE WHEN page_id % 4 = 0 THEN CAST(NULL AS STRING) ELSE 'https://q.example/' || CAST(page_id % 60 AS STRING) END AS requested_url, 'https://q.example/' || CAST(page_id * 7 % 100 AS STRING) AS url FROM pages""",
         "sites": """
