@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
@@ -78,19 +79,29 @@ def feed(body: Column, source_url: Column) -> Column:
     return F.struct(kind.alias("kind"), found.alias("urls"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, on one machine (tests) a folder of our own, on a cluster an error."""
+    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if said:
+        return said.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gossamer-')}")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop's table: a checkpoint file below spark.checkpoint.dir, which all executors share.
+    """Cuts the lineage of a loop's table: written as Parquet to the folder that all executors share, and read again.
 
-    Where that is unset, on one machine (tests) in a folder of our own; on a cluster it is an error.
-    A table that grows by unions would have more partitions each time around: so many as a shuffle has, or the cores, stay.
+    A checkpoint would hand on what the optimizer inferred about the columns,
+    which doubles with each time around a loop, and has no sizes to plan joins
+    by. A table that grows by unions would have more partitions each time: so
+    many as a shuffle has, or the cores, stay.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        said = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not said and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(said or f"file://{tempfile.mkdtemp(prefix='gossamer-')}")
-    return df.coalesce(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))).checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gossamer/{uuid.uuid4().hex}"
+    df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None) -> DataFrame:
