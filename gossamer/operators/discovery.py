@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,17 +120,26 @@ def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None) -
     return seen
 
 
-def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int, max_depth: int, max_urls: int) -> DataFrame:
+@dataclass(frozen=True)
+class Walked:
+    """urls of a walk, the documents that it asked for (site, url, depth, rank), and the sites that a bound cut short."""
+
+    urls: DataFrame
+    documents: DataFrame
+    truncated: DataFrame
+
+
+def walk(documents: DataFrame, roots: DataFrame, *, max_documents: int, max_depth: int, max_urls: int, scope: DataFrame | None = None) -> Walked:
     """What each site's sitemaps lead to: site, url, source_url, via, depth, pos, each url where it is found first.
 
     documents: url, status, kind, urls (in order); roots: site, url, pos. Level
     by level, in order within a level; a document counts against
-    max_documents even if it fails; a url is found once per site.
+    max_documents even if it fails; a url is found once per site. With scope
+    (site, host) only urls on their site's host count.
     """
     key = ["site", "url"]
     level = kept(roots.select("site", "url", F.row_number().over(Window.partitionBy("site").orderBy("pos", "url")).alias("pos")).withColumn("depth", F.lit(0)))
-    seen = None
-    parts = None
+    seen, parts, cut = None, None, []
     for depth in range(max_depth + 1):
         first = level.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).where("__r = 1").drop("__r")
         if seen is not None:
@@ -137,7 +148,10 @@ def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int,
         else:
             first = first.withColumn("used", F.lit(0))
         order = F.row_number().over(Window.partitionBy("site").orderBy("pos"))
-        first = kept(first.withColumn("rank", order + F.coalesce("used", F.lit(0))).where(F.col("rank") <= max_documents).select("site", "url", "depth", "rank"))
+        ranked = kept(first.withColumn("rank", order + F.coalesce("used", F.lit(0))).select("site", "url", "depth", "rank"))
+        cut.append(ranked.where(F.col("rank") > max_documents).select("site"))
+        first = ranked.where(F.col("rank") <= max_documents)
+        level = None
         if not first.head(1):
             break
         seen = first if seen is None else kept(seen.unionByName(first))
@@ -147,9 +161,51 @@ def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int,
         parts = found if parts is None else parts.unionByName(found)
         nested = got.where("kind = 'sitemapindex'").select("site", "url", F.row_number().over(Window.partitionBy("site").orderBy("rank", "k")).alias("pos"))
         level = kept(nested.withColumn("depth", F.lit(depth + 1)))
+    if parts is None:  # no roots
+        parts = roots.where("false").select("site", "url", F.col("url").alias("source_url"), F.lit("").alias("via"), F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(0).alias("k"))
+        seen = ranked
+    if level is not None:  # indexes at the last depth lead further
+        cut.append(level.select("site"))
+    if scope is not None:
+        parts = parts.withColumn("host", urls.host(F.col("url"))).join(scope.select("site", "host"), ["site", "host"], "left_semi").drop("host")
     first = parts.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("rank", "k"))).where("__r = 1").drop("__r")
-    pos = F.row_number().over(Window.partitionBy("site").orderBy("rank", "k"))
-    return first.withColumn("pos", pos.cast("long")).where(F.col("pos") <= max_urls).select("site", "url", "source_url", "via", "depth", "pos")
+    placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy("rank", "k")).cast("long"))
+    cut.append(placed.where(F.col("pos") > max_urls).select("site"))
+    return Walked(placed.where(F.col("pos") <= max_urls).select("site", "url", "source_url", "via", "depth", "pos"), seen, reduce(DataFrame.unionByName, cut).distinct())
+
+
+def sitemap_walk(documents: DataFrame, roots: DataFrame, *, max_documents: int, max_depth: int, max_urls: int) -> DataFrame:
+    """The urls of walk."""
+    return walk(documents, roots, max_documents=max_documents, max_depth=max_depth, max_urls=max_urls).urls
+
+
+def discover(seeds: DataFrame, fetched: DataFrame, *, max_documents: int = 32, max_depth: int = 4, max_urls: int = 10_000, max_bytes: int = MAX_BYTES, same_domain: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """urls, failures (site, url, error) and the state (site, documents, truncated) of each seed's (site, seed) discovery.
+
+    fetched: url, status, body. A site's roots are the sitemaps that its
+    robots.txt names, else /sitemap.xml. A document that isn't there, has a
+    status other than 2xx, is too large or no sitemap is a failure; so is a
+    missing robots.txt, but not one with another status.
+    """
+    sites = seeds.select("site", urls.canonical(F.col("seed")).alias("seed")).where("seed is not null").withColumn("robots", F.concat(urls.origin(F.col("seed")), F.lit("/robots.txt")))
+    got = fetched.select("url", "status", "body")
+    robots = sites.join(got.withColumnRenamed("url", "robots"), "robots", "left")
+    named = F.when(F.col("status").between(200, 299), robots_sitemaps(F.col("body"), F.col("robots")))
+    default = F.array(F.concat(urls.origin(F.col("seed")), F.lit("/sitemap.xml")))
+    roots = kept(robots.select("site", "robots", "status", F.posexplode(F.when(F.size(named) > 0, named).otherwise(default)).alias("pos", "url")))
+    parsed = got.withColumn("large", oversized(F.col("body"), max_bytes)).withColumn("map", F.when(~F.col("large"), sitemap(F.col("body"), F.col("url"))))
+    parsed = parsed.select("url", "status", "large", "map.kind", "map.urls")
+    walked = walk(parsed, roots.select("site", "url", "pos"), max_documents=max_documents, max_depth=max_depth, max_urls=max_urls, scope=sites.select("site", urls.host(F.col("seed")).alias("host")) if same_domain else None)
+    tried = walked.documents.join(parsed, "url", "left")
+    error = (
+        F.when(F.col("status").isNull(), "FetchError: not_found").when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        .when(F.col("large"), "FetchError: too_large").when(F.col("kind").isNull(), "ParseError: not a sitemap")
+    )
+    no_robots = roots.where("status is null").select("site", F.col("robots").alias("url"), F.lit("FetchError: not_found").alias("error")).distinct()
+    failures = no_robots.unionByName(tried.select("site", "url", error.alias("error")).where("error is not null"))
+    n = walked.documents.groupBy("site").agg(F.count("*").alias("documents"))
+    state = sites.select("site").join(n, "site", "left").na.fill(0, ["documents"]).join(walked.truncated.withColumn("__cut", F.lit(True)), "site", "left")
+    return walked.urls, failures, state.select("site", "documents", F.col("__cut").isNotNull().alias("truncated"))
 
 
 def redirect_chains(starts: DataFrame, hops: DataFrame, *, max_redirects: int = 10) -> DataFrame:
