@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from gossamer.llm import fingerprint, jaccard, lines, substrings
+from gossamer.llm import fingerprint, jaccard, lines, queries, substrings
 from gossamer.llm._components import components
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +136,16 @@ def test_classes_and_links_equal_brute_force(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_recall_over_the_table(spark):
+    """Links found over whole documents against all pairs: 0.95 of them at least, no wrong one, and no class too large."""
+    sf = "/root/testdata/sf0.01"
+    want = {i: (c, n) for i, c, n in brute_classes([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.op7_jaccard_join(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][1] <= n for i, (_, n) in want.items()) and sum(n for _, n in got.values()) >= 0.95 * sum(n for _, n in want.values()) > 0
+    assert all(want[c][0] == want[i][0] for i, (c, _) in got.items())
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
