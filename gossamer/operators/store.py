@@ -121,6 +121,13 @@ def lifecycle_fold(log: DataFrame, key: str, at: str) -> DataFrame:
     return told.select(key, F.aggregate("log", F.lit("active"), lambda s, x: lifecycle_step(s, x["command"], x["complete"])).alias("lifecycle"), F.size("log").cast("long").alias("commands"))
 
 
+def refused_commands(log: DataFrame, key: str, at: str) -> DataFrame:
+    """The commands of the log that lifecycle_fold passes over as they are errors: a cancelled crawl can't be paused or resumed."""
+    cancelled = log.where("command = 'cancel'").groupBy(key).agg(F.min(at).alias("__since"))
+    late = log.where(F.col("command").isin("pause", "resume")).join(cancelled, key).where(F.col(at) > F.col("__since")).drop("__since")
+    return late.withColumn("error", F.concat(F.lit("cancelled crawl cannot be "), F.col("command"), F.lit("d: "), F.col(key)))
+
+
 def index_records(records: DataFrame, *, last: bool) -> DataFrame:
     """key, pos of the record that each requested or final URL leads to: the first or the last that has it.
 
