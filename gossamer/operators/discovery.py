@@ -95,9 +95,9 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop's table: written as Parquet to the folder that all executors share, and read again.
 
-    A checkpoint would hand on what the optimizer inferred about the columns,
-    which doubles with each time around a loop, and has no sizes to plan joins
-    by. A table that grows by unions would have more partitions each time: so
+    With checkpoints a crawl's steps grew from 0.4 to 23 seconds within eight
+    batches (most likely by the constraints that a checkpoint hands on to the
+    optimizer), and they have no sizes to plan joins by. A table that grows by unions would have more partitions each time: so
     many as a shuffle has, or the cores, stay.
     """
     spark = df.sparkSession
