@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +146,14 @@ def batch_outcomes(leases: DataFrame, records: DataFrame) -> DataFrame:
     return found.withColumn("verb", F.when(F.col("pos").isNull(), "fail").otherwise("ack")).withColumn("error", F.when(F.col("pos").isNull(), "fetch batch produced no PageRecord"))
 
 
-def merged_rendering(static: DataFrame, rendered: DataFrame) -> DataFrame:
+def merged_rendering(static: DataFrame, rendered: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
     """Static records with their rendering merged in: its fields and metadata win, requested_url stays; a note where rendering failed.
 
-    static: url, requested_url, title, requires_browser, metadata (map); rendered: url, title, metadata.
+    static: url, requested_url, title, requires_browser, metadata (map); rendered: the columns on, title, metadata. A record's
+    rendering is the one with its values of on; name more than url where several records have one URL.
     """
-    r = rendered.select("url", F.col("title").alias("__title"), F.col("metadata").alias("__meta"), F.lit(True).alias("__hit"))
-    j = static.join(r, "url", "left")
+    r = rendered.select(*on, F.col("title").alias("__title"), F.col("metadata").alias("__meta"), F.lit(True).alias("__hit"))
+    j = static.join(r, list(on), "left")
     hit = F.col("requires_browser") & F.col("__hit").isNotNull()
     own = F.map_filter("metadata", lambda k, _: ~F.map_contains_key(F.coalesce("__meta", F.create_map().cast("map<string,string>")), k))
     note = F.create_map(F.lit("browser_error"), F.lit("render failed"))

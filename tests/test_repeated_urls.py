@@ -24,6 +24,6 @@ def twice(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["bounded_fetch"])
+@pytest.mark.parametrize("name", ["bounded_fetch", "browser_escalation_merge"])
 def test_query_equals_its_sql_where_urls_repeat(spark, twice, name):
     assert check(spark, registry.queries()[name], registry.oracle_sql()[name], twice)
