@@ -11,6 +11,11 @@ similarity of their sets is at least the threshold.
    threshold is expected to share one path on every level. Classes on the same path
    are a bucket. Buckets of more than LEAF classes are split again on further
    tokens; smaller ones are compared by brute force on the tokens' low bytes.
+   Before a bucket is split, classes alike to one of a few pivots that are alike
+   themselves are connected by them and leave it. By the triangle inequality
+   only what lies within twice the distance that counts as alike from such a
+   pivot can be alike to them: that is compared with the whole bucket and leaves
+   it too, if it is little enough; otherwise the whole bucket is split.
    Runs repeat until a pair at the threshold is missed by all with a chance
    below 1 - recall, even if all its buckets are so large that it must share a
    path down to DEPTH. What is still too large at DEPTH is compared in blocks,
@@ -48,6 +53,8 @@ from gossamer.llm._components import components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 SKETCH, LEAF, DEPTH, BLOCK = 128, 96, 4, 512
 BLOCK_BYTES = 4_000_000
+#: Picked of a large bucket, at random by hash.
+PIVOTS = 8
 #: Of the bitmap that is broadcast before texts are moved: 533,000 rows of 16 bytes at most.
 FILTER_BITS = 1 << 25
 #: A task remembers what it has connected of so many classes.
@@ -213,6 +220,61 @@ def local_roots(like: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _settled(large: DataFrame, held: DataFrame, least: float, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (key, t, n) of large buckets that must be split on, and edges a, b that stand for all likenesses of the others, and of those left with the others."""
+    seen = large.join(held.select("t", "low"), "t")
+    own = F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
+    # each block picks its own, so that a bucket's rows are moved once
+    pick = [F.min_by(F.struct("t", "low"), F.xxhash64("t", F.lit(k))) for k in range(PIVOTS)]
+    blocks = written(seen.groupBy("key", own).agg(F.collect_list(F.struct("t", "low")).alias("members"), F.array(*pick).alias("picks")), f"blocks-{depth}")
+    best = [F.min_by(F.col("picks")[k], F.xxhash64(F.col("picks")[k]["t"], F.lit(k))) for k in range(PIVOTS)]
+    pivots = written(blocks.groupBy("key").agg(F.array(*best).alias("pivots")), f"pivots-{depth}")
+    bytes_of = lambda rows: np.frombuffer(b"".join(x["low"] for x in rows), np.uint8).reshape(-1, SKETCH)
+    # the share of equal bytes of what is alike, and of what may be alike to something that is alike to a pivot
+    alike = least * 255 / 256 + 1 / 256 - 1e-9
+    near = 1 - 2 * (1 - alike)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for row in (x for batch in batches for cut in slices(batch, 4) for x in cut.to_pylist()):
+            members, pivot = row["members"], list({x["t"]: x for x in row["pivots"]}.values())
+            p, s = bytes_of(pivot), bytes_of(members)
+            root = local_roots((p[:, None, :] == p).mean(axis=2) >= alike)
+            group = np.flatnonzero(root == np.bincount(root).argmax())
+            share = np.stack([(s == p[k]).mean(axis=1) for k in group], axis=1)
+            most, of = share.max(axis=1), group[share.argmax(axis=1)]
+            out = [(None, x, y, 0, 0) for x, y in ((pivot[j]["t"], pivot[k]["t"]) for j in group for k in group if j < k and (p[j] == p[k]).mean() >= alike) if forest.join(x, y)]
+            for m, share_, k in zip(members, most, of, strict=True):
+                if share_ < alike:
+                    out.append((row["key"], m["t"], m["low"], 1 if share_ >= near else 2, 1))
+                elif m["t"] != (to := pivot[k]["t"]) and forest.join(m["t"], to):
+                    out.append((None, m["t"], to, 0, 0))
+            out.append((row["key"], None, None, 3, int((most >= alike).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["key", "a", "b", "kind", "rows"])
+
+    # kind: 0 an edge, 1 beside the pivots' group, 2 far from it, 3 the number of a block's rows in it
+    told = written(blocks.join(pivots, "key").select("key", "members", "pivots").mapInArrow(tidy(part), "key long, a binary, b binary, kind int, rows long"), f"parted-{depth}")
+    rows = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rows")).otherwise(0))
+    counts = told.where("kind > 0").groupBy("key").agg(rows(3).alias("group"), rows(1).alias("beside"), rows(2).alias("far"))
+    # at most BLOCK comparisons for each class that is spared the splitting
+    done = (F.col("group") > 1) & (F.col("beside") * (F.col("group") + F.col("beside") + F.col("far")) <= BLOCK * F.col("group"))
+    verdict = written(counts.select("key", "far", done.alias("done")), f"verdict-{depth}")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for row in (x for batch in batches for cut in slices(batch, 4) for x in cut.to_pylist()):
+            members, s, found = row["members"], bytes_of(row["members"]), []
+            for x, low in zip(row["beside"], bytes_of(row["beside"]), strict=True):
+                found += [(x["t"], members[k]["t"]) for k in np.flatnonzero((s == low).mean(axis=1) >= alike) if forest.join(x["t"], members[k]["t"])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
+
+    beside = told.where("kind = 1").join(verdict.where("done"), "key").groupBy("key").agg(F.collect_list(F.struct(F.col("a").alias("t"), F.col("b").alias("low"))).alias("beside"))
+    met = blocks.join(written(beside, f"beside-{depth}"), "key").select("members", "beside").mapInArrow(tidy(across), "a binary, b binary")
+    far = told.where("kind = 2").join(verdict.where("done and far > 1"), "key").select("key", F.col("a").alias("t"), F.col("far").alias("n"))
+    rest = large.join(verdict.where("not done"), "key").select("key", "t", "n").unionByName(far)
+    return written(rest, f"rest-{depth}"), [told.where("kind = 0").select("a", "b"), written(met, f"met-{depth}")]
+
+
 def _grid(rows: DataFrame, group: str, n: Column, block: int) -> DataFrame:
     """Repeats rows of a group for each pair of blocks (i <= j) that their block is in; part says on which side."""
     blocks = F.ceil(n / block).cast("int")
@@ -240,6 +302,10 @@ def candidates(held: DataFrame, *, threshold: float = THRESHOLD, recall: float =
         leaf = lists.join(held.select("t", "low"), "t").groupBy("key").agg(F.collect_list(F.struct(F.lit(0).alias("part"), "t", "low")).alias("members"))
         edges.append(written(_stars(leaf.select("members"), least), f"leaves-{depth}"))
         large = live.where(F.col("n") > LEAF)
+        if not large.head(1):
+            break
+        large, more = _settled(large, held, least, depth)
+        edges += more
         if not large.head(1):
             break
         if depth == DEPTH:

@@ -287,3 +287,28 @@ def test_sketches_merge_and_estimate(spark):
     assert abs(r["j"] - 1 / 3) < 0.13 and abs(r["c"] - 0.5) < 0.2 and abs(r["n"] - 1996) < 600 and r["same"] == r["a"]
     parts = df.select(F.explode(F.array("a", "b")).alias("sketch")).withColumn("k", F.lit(1))
     assert fingerprint.merge_parts(parts, ["k"]).first()["sketch"] == r["m"]
+
+
+def test_a_large_group_of_near_copies_is_not_split(spark, monkeypatch):
+    """Its classes go on with fewer paths than there are classes, whatever shares its buckets, and no link is lost."""
+    rng = random.Random(12)
+    base, other = [[f"{c}{k}" for k in range(150)] for c in "wv"]
+    rows = []
+    for k in range(150):
+        x = base[:] if k < 120 else base[: 10 * (k - 120)] + other[10 * (k - 120) :] if k < 136 else other[:]
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(x)))
+    made, run = [], jaccard.written
+
+    def spied(df, name, **how):
+        out = run(df, name, **how)
+        if name.startswith("paths-") and name != "paths-1":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "LEAF", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    monkeypatch.setattr(jaccard, "written", spied)
+    assert collected(jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)), ["doc_id", "class_id", "n_links"]) == brute_classes(rows)
+    assert sum(made) < len(rows)
