@@ -165,7 +165,8 @@ def nearest(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vect
                 q, at = np.nonzero(found.of >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(held[1][found.of[q, at]]), pa.array(found.d[q, at])], names=["query_id", "vec_id", "score"])
 
-    pairs = asks.join(trees, ["shard", "dim"]).select("shard", "dim", "ids", "data", "q_ids", "q_data")
+    # sizes are estimated without the repetition by shard: no side may be gathered on the driver to be broadcast
+    pairs = asks.join(trees.hint("merge"), ["shard", "dim"]).select("shard", "dim", "ids", "data", "q_ids", "q_data")
     best = pairs.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -60,6 +60,12 @@ def test_recall_of_the_query(spark):
     assert len({(q, i) for q, v in got.items() for _, i in v} & want) >= 0.9 * len(want)
 
 
+def test_nothing_is_broadcast(spark):
+    df = spark.createDataFrame(vectors()[:350], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=40, block_rows=2)
+    assert got.collect() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
